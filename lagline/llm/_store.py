@@ -31,11 +31,11 @@ def fresh(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/lagline/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """df as a table in the shared folder: it cuts the lineage and outlives executors."""
     spark = df.sparkSession
     at = fresh(spark, tag)
-    df.write.parquet(at)
+    df.write.option("compression", compression).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
@@ -48,3 +48,29 @@ def ship(spark: SparkSession) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _murmur(k: int) -> int:
+    """Spark's hash of an int: Murmur3 with seed 42."""
+    m = 0xFFFFFFFF
+    k = (k * 0xCC9E2D51) & m
+    k = ((k << 15 | k >> 17) & m) * 0x1B873593 & m
+    h = 42 ^ k
+    h = (((h << 13 | h >> 19) & m) * 5 + 0xE6546B64) & m ^ 4
+    h = (h ^ h >> 16) * 0x85EBCA6B & m
+    h = (h ^ h >> 13) * 0xC2B2AE35 & m
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def bucket_keys(spark: SparkSession, n: int) -> list[int]:
+    """n int keys that Spark's hash deals evenly over the shuffle partitions, one after the other."""
+    p = partitions(spark)
+    most, load, keys, k = -(-n // p), [0] * p, [], 0
+    while len(keys) < n:
+        at = _murmur(k) % p
+        if load[at] < most:
+            load[at] += 1
+            keys.append(k)
+        k += 1
+    return keys

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, license_scan, mixing, substring_dedup
+from . import chat_format, decontaminate, exact_dedup, language_id, license_scan, lm_score, mixing, ngram_join, quality, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -106,3 +106,31 @@ def op8_mixing(spark, sf_dir):
 @query
 def op9_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_ngram_join(spark, sf_dir):
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
+@query
+def op3_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out())
+    model = language_id.train(docs.where("not held_out"))
+    out = language_id.predict(docs, model)
+    return out.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_quality(spark, sf_dir):
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return quality.resample(table(spark, sf_dir, "documents"), good)
+
+
+@query
+def op10_lm_score(spark, sf_dir):
+    held = language_id.held_out(folds=7)
+    docs = table(spark, sf_dir, "documents")
+    trie = lm_score.train(docs.where(~held))
+    out = lm_score.score(docs, trie)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -11,7 +11,8 @@ The pairs form a reduction tree. Documents are dealt by their ids, and not by ho
 input lies, into leaves of about `leaf` documents; a leaf hands on the one document left
 over, and each level joins up to `leaf` leftovers of the level below, until a source
 has one, which a last draw rounds. Every draw hashes the ids of those
-who meet, so reruns agree under any partitioning.
+who meet, so reruns agree under any partitioning. Larger documents meet first, so
+that the one left over is small.
 
 Defined results: null text has size 0, takes nothing. A null source is a source, the
 last. A source without words has target 0. Rows that repeat an id are documents of
@@ -99,7 +100,7 @@ _NAMES = [c.split()[0] for c in _COLUMNS.split(", ")]
 
 def _level(seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "size"], kind="stable", na_position="first").reset_index(drop=True)
+        pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="first").reset_index(drop=True)
         doc = pdf["doc_id"].fillna(-1).to_numpy().astype(np.int64)
         pdf["p"], hold = pivotal(doc, pdf["size"].to_numpy(np.float64), pdf["p"].to_numpy(), seed)
         pdf["open"] = False

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrow import NULL_ID, SPACE, by_bucket, deltas, hashed_words, id_array, ids, mix, pack, roll, runs, spread, splitmix, text_buffer, undeltas, unpack, windows_of
-from ._store import partitions, ship, written
+from ._store import bucket_keys, partitions, ship, written
 from .components import components
 
 #: Signatures that a map task holds at a time.
@@ -160,9 +160,9 @@ def signatures(g: np.ndarray, first: np.ndarray, scheme: int, k: int, m: int) ->
     own = np.uint64((scheme + 1) * int(_SCHEME) & _MASK)
     d, p = doc[cut[:-1]], part[cut[:-1]]
     sig = mix(_sums(mix(g + _SCHEME), cut) + own + (p + 1).astype(np.uint64) * _PART)
-    empty = m - np.bincount(d, minlength=len(many))
+    of_set, empty = d, m - np.bincount(d, minlength=len(many))
     for i in np.flatnonzero(empty >= m - k):  # many empty parts: they count, too
-        none = np.setdiff1d(np.arange(m), p[d == i])
+        none = np.setdiff1d(np.arange(m), p[of_set == i])
         sig = np.concatenate((sig, mix((none + 1).astype(np.uint64) * _PART + own + _EMPTY)))
         d = np.concatenate((d, np.full(len(none), i)))
     return sig, d
@@ -215,7 +215,7 @@ def _pairs(small: int):
 
     def run(table: pa.Table) -> pa.Table:
         cols = [unpack(p) for p in table.column("payload").to_pylist()]
-        bucket = table.column("key")[0].as_py()
+        bucket = table.column("bucket")[0].as_py()
         sig = np.concatenate([c[0] for c in cols])
         doc = np.concatenate([undeltas(c[1]) for c in cols])
         order = np.argsort(sig, kind="stable")
@@ -338,8 +338,10 @@ class Join:
         self.meta = written(self.src.mapInArrow(_meta(rule), _META), "sets")
         own = self.meta.where("cls is not null")
         self.classes = written(own.groupBy("cls").agg(F.min("key").alias("key"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
-        buckets = 4 * partitions(self.spark)
+        buckets = partitions(self.spark)
         chunks = self.src.mapInArrow(_tiles(rule, buckets), "key int, payload binary")
+        key = F.element_at(F.array(*map(F.lit, bucket_keys(self.spark, buckets))), F.col("key") + 1).alias("key") if buckets <= 4096 else F.col("key")
+        chunks = chunks.select(key, F.col("key").alias("bucket"), "payload")  # one bucket to each partition
         self.found = written(chunks.groupBy("key").applyInArrow(_pairs(small), _PAIRS), "tiles")
 
     def _allowed(self) -> DataFrame:

@@ -208,14 +208,15 @@ def _keep(model, most_word: int, at: int, least: float):
         for batch in batches:
             text = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], names=["doc_id", "text"])
             for judged in inner([text]):
-                ok = [x != "und" and s >= least for x, s in zip(judged.column(1).to_pylist(), judged.column(2).to_pylist(), strict=True)]
+                none = not model.value.langs
+                ok = [none or x != "und" and s >= least for x, s in zip(judged.column(1).to_pylist(), judged.column(2).to_pylist(), strict=True)]
                 yield batch.filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
 def drop_unidentified(docs: DataFrame, model: Model, least: float = 0.5, most_word: int = 64, text_col: str = "text") -> DataFrame:
-    """docs with all their columns, without texts in no learned language: no letter, or no language of probability `least`."""
+    """docs with all their columns, without texts in no learned language: no letter, or no language of probability `least`. A model without languages judges nothing."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_keep(sent, most_word, docs.columns.index(text_col), least), docs.schema)

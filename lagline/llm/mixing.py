@@ -138,3 +138,22 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, l
     done = done.unionByName(left.withColumn("p", (draw < F.col("p")).cast("double")))
     copies = F.col("whole") + F.col("p").cast("long")
     return done.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """docs with all their columns and `copies`: the rows that the mix takes at least once.
+
+    Rows that repeat an id, source and size are matched to their decisions in the order of their texts' hashes.
+    """
+    made = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    keys = ["__id", "__source", "__size"]
+    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(SIZE)), F.lit(0)).cast("long")
+    safe_id = lambda c: F.coalesce(c.cast("long"), F.lit(-(1 << 63)))
+    safe_source = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
+    left = docs.withColumns({"__id": safe_id(F.col(id_col)), "__source": safe_source(F.col(source_col)), "__size": size})
+    left = left.withColumn("__nth", nth(F.xxhash64(text_col)))
+    right = made.select(safe_id(F.col("doc_id")).alias("__id"), safe_source(F.col("source")).alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
+    right = right.withColumn("__nth", nth(F.desc("__copies"))).where("__copies > 0")
+    out = left.join(right, [*keys, "__nth"])
+    return out.select(*[F.col(c) for c in docs.columns], F.col("__copies").alias("copies"))

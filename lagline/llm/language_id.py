@@ -33,12 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._arrow import mix, runs
 from ._store import ship, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Word types whose log-probabilities a task remembers.
+#: Word types that a task remembers (batches are added whole).
 REMEMBERED = 200_000
+#: Words of one lattice.
+STEP = 20_000
 
 
 def read_vocabulary(path: str, most_piece: int = 12) -> list[str]:
@@ -57,52 +60,92 @@ def words(text: str | None, most_word: int) -> list[str]:
     return out
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _keys(chars: np.ndarray, size: int, before: np.ndarray | None) -> np.ndarray:
+    """Hash of the `size` code points from each place, from that of one less."""
+    own = chars[size - 1 :].astype(np.uint64) + np.uint64(1)
+    return mix(own * _BASE + (before[: len(own)] if before is not None else np.uint64(0)))
+
+
+def _key(piece: str) -> int:
+    chars, h = np.frombuffer(piece.encode("utf-32-le"), np.uint32), None
+    for size in range(1, len(chars) + 1):
+        h = _keys(chars, size, h)
+    return int(h[0])
+
+
 @dataclass
 class Model:
     langs: list[str]
-    pieces: dict[str, int]  # piece -> row of prob
-    prob: np.ndarray  # (pieces + 1, languages); the last row is for uncovered letters
+    keys: np.ndarray  # the pieces' hashes, sorted
+    prob: np.ndarray  # (pieces + 1, languages), in the order of keys; the last row is for uncovered letters
     prior: np.ndarray  # log, by language
     longest: int
 
-    def edges(self, word: str):
-        """(begin, end, row) of each piece in the word; single letters always have one."""
-        for j in range(1, len(word) + 1):
-            for i in range(max(0, j - self.longest), j):
-                row = self.pieces.get(word[i:j])
-                if row is not None:
-                    yield i, j, row
-                elif i == j - 1:
-                    yield i, j, len(self.pieces)
-
-    def forward(self, word: str) -> tuple[np.ndarray, list]:
-        edges = list(self.edges(word))
-        alpha = np.zeros((len(word) + 1, len(self.langs)))
-        alpha[0] = 1.0
-        for i, j, row in edges:
-            alpha[j] += alpha[i] * self.prob[row]
-        return alpha, edges
-
-    def log_prob(self, word: str) -> np.ndarray:
-        """Log-probability of a word in each language: the sum over all its segmentations."""
-        return np.log(np.maximum(self.forward(word)[0][-1], 1e-300))
-
-
-def expected(model: Model, rows: list[tuple[str, int, float]]) -> np.ndarray:
+    def lattice(self, many: list[str]):
+        """All pieces in many words, as edges between the places of their letters.
+
+        Returns (from, to, row) of each edge, sorted by how far into its word it begins; where
+        each such distance begins in that order; and each word's first place. A word of n
+        letters has n + 1 places.
+        """
+        lens = np.array([len(w) for w in many], np.int64)
+        chars = np.frombuffer("".join(many).encode("utf-32-le"), np.uint32)
+        word = np.repeat(np.arange(len(many)), lens)
+        begin = np.concatenate(([0], np.cumsum(lens)))
+        into = np.arange(len(chars)) - begin[word]
+        left = lens[word] - into
+        froms, sizes, rows, h = [], [], [], None
+        for size in range(1, self.longest + 1):
+            if size > len(chars):
+                break
+            h = _keys(chars, size, h)
+            ok = np.flatnonzero(left[: len(h)] >= size)
+            at = np.minimum(np.searchsorted(self.keys, h[ok]), max(len(self.keys) - 1, 0))
+            hit = self.keys[at] == h[ok] if len(self.keys) else np.zeros(len(ok), bool)
+            if size == 1:
+                at, hit = np.where(hit, at, len(self.keys)), np.ones(len(ok), bool)
+            froms.append(ok[hit])
+            rows.append(at[hit])
+            sizes.append(np.full(int(hit.sum()), size))
+        start, row, size = np.concatenate(froms), np.concatenate(rows), np.concatenate(sizes)
+        order = np.lexsort((start, into[start]))
+        start, row, size = start[order], row[order], size[order]
+        source = start + word[start]
+        cuts = np.searchsorted(into[start], np.arange(int(lens.max()) + 1))
+        return source, source + size, row, cuts, begin + np.arange(len(begin))
+
+    def log_probs(self, many: list[str]) -> np.ndarray:
+        """Log-probability of each word in each language: the sum over all its segmentations."""
+        source, to, row, cuts, first = self.lattice(many)
+        alpha = np.zeros((first[-1], len(self.langs)))
+        alpha[first[:-1]] = 1.0
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            # Edges from one distance into the words: no two of them end at the same place.
+            alpha[to[a:b]] += alpha[source[a:b]] * self.prob[row[a:b]]
+        return np.log(np.maximum(alpha[first[1:] - 1], 1e-300))
+
+
+def expected(model: Model, many: list[str], lang: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Expected piece counts of (word, language, count) rows, by forward-backward."""
+    source, to, row, cuts, first = model.lattice(many)
+    of = np.searchsorted(first, source, "right") - 1
+    p = model.prob[row, lang[of]]
+    alpha, beta = np.zeros(first[-1]), np.zeros(first[-1])
+    alpha[first[:-1]] = 1.0
+    beta[first[1:] - 1] = 1.0
+    spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+    for a, b in spans:
+        alpha[to[a:b]] += alpha[source[a:b]] * p[a:b]
+    for a, b in reversed(spans):
+        if a < b:
+            cut = runs(source[a:b])[:-1]
+            beta[source[a:b][cut]] += np.add.reduceat(beta[to[a:b]] * p[a:b], cut)
+    whole = np.maximum(alpha[first[1:] - 1], 1e-300)[of]
     out = np.zeros(model.prob.shape)
-    for word, lang, count in rows:
-        p = model.prob[:, lang]
-        edges = list(model.edges(word))
-        alpha, beta = [0.0] * (len(word) + 1), [0.0] * (len(word) + 1)
-        alpha[0] = beta[-1] = 1.0
-        for i, j, row in edges:
-            alpha[j] += alpha[i] * p[row]
-        for i, j, row in reversed(edges):
-            beta[i] += beta[j] * p[row]
-        if alpha[-1] > 0:
-            for i, j, row in edges:
-                out[row, lang] += count * alpha[i] * p[row] * beta[j] / alpha[-1]
+    np.add.at(out, (row, lang[of]), count[of] * alpha[source] * p * beta[to] / whole)
     return out
 
 
@@ -128,11 +171,13 @@ def _counted(held: Counter) -> pa.RecordBatch:
 
 def _expect(model):
     def run(frames):
-        total = None
-        at = {x: i for i, x in enumerate(model.value.langs)}
+        m, total = model.value, None
+        at = {x: i for i, x in enumerate(m.langs)}
         for pdf in frames:
-            part = expected(model.value, [(w, at[x], float(n)) for x, w, n in zip(pdf["lang"], pdf["word"], pdf["n"], strict=True)])
-            total = part if total is None else total + part
+            for a in range(0, len(pdf), STEP):
+                part = pdf.iloc[a : a + STEP]
+                got = expected(m, part["word"].tolist(), part["lang"].map(at).to_numpy(), part["n"].to_numpy(float))
+                total = got if total is None else total + got
         if total is not None:
             row, lang = np.nonzero(total)
             yield pd.DataFrame({"row": row.astype(np.int64), "lang": lang.astype(np.int64), "n": total[row, lang]})
@@ -140,7 +185,7 @@ def _expect(model):
     return run
 
 
-def train(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 2, most_word: int = 64, text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 2, most_word: int = 32, text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from every row of docs with a language; rows without one are left out."""
     spark: SparkSession = docs.sparkSession
     ship(spark)
@@ -153,7 +198,7 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 2, most_w
     langs = sorted(sizes)
     n_docs = np.array([sizes[x] for x in langs], float)
     shape = (len(pieces) + 1, len(langs))
-    model = Model(langs, {p: i for i, p in enumerate(pieces)}, np.full(shape, 1.0 / shape[0]), np.log(n_docs / max(n_docs.sum(), 1)), max(map(len, pieces), default=1))
+    model = Model(langs, np.array(sorted(map(_key, pieces)), np.uint64), np.full(shape, 1.0 / shape[0]), np.log(n_docs / max(n_docs.sum(), 1)), max(map(len, pieces), default=1))
     for _ in range(rounds if langs else 0):
         sent = spark.sparkContext.broadcast(model)
         got = counts.mapInPandas(_expect(sent), "row bigint, lang bigint, n double").groupBy("row", "lang").agg(F.sum("n").alias("n")).toPandas()
@@ -161,39 +206,40 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 2, most_w
         # Ordered sums, so that runs agree.
         got = got.sort_values(["row", "lang"])
         n[got["row"].to_numpy(int), got["lang"].to_numpy(int)] += got["n"].to_numpy(float).round(6)
-        model = Model(model.langs, model.pieces, n / n.sum(axis=0), model.prior, model.longest)
+        model = Model(model.langs, model.keys, n / n.sum(axis=0), model.prior, model.longest)
         sent.unpersist()
     return model
 
 
 def _predict(model, most_word: int):
     def run(batches):
-        m, known = model.value, {}
+        m = model.value
+        known, table = {}, np.empty((0, len(m.langs)))
         for batch in batches:
-            lang, score = [], []
-            for text in batch.column(1).to_pylist():
-                counts = Counter(words(text, most_word))
-                if not counts or not m.langs:
-                    lang.append("und")
-                    score.append(0.0)
+            lang, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
+            counts = [Counter(words(text, most_word)) for text in batch.column(1).to_pylist()] if m.langs else []
+            if len(known) > REMEMBERED:
+                known, table = {}, table[:0]
+            new = list(dict.fromkeys(w for c in counts for w in c if w not in known))
+            parts = [table]
+            for a in range(0, len(new), STEP):
+                parts.append(m.log_probs(new[a : a + STEP]))
+            known.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
+            table = np.concatenate(parts)
+            for i, c in enumerate(counts):
+                if not c:
                     continue
-                total = m.prior.copy()
-                for w, n in counts.items():
-                    v = known.get(w)
-                    if v is None:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        v = known[w] = m.log_prob(w)
-                    total = total + n * v
+                at = np.fromiter((known[w] for w in c), np.int64, len(c))
+                total = m.prior + np.fromiter(c.values(), float, len(c)) @ table[at]
                 best = int(np.argmax(total))
-                lang.append(m.langs[best])
-                score.append(1.0 / float(np.exp(np.minimum(total - total[best], 0.0)).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+                lang[i] = m.langs[best]
+                score[i] = 1.0 / float(np.exp(np.minimum(total - total[best], 0.0)).sum())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model, most_word: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, most_word: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, lang_pred, score (the language's probability, 0 to 1)."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -215,7 +261,7 @@ def _keep(model, most_word: int, at: int, least: float):
     return run
 
 
-def drop_unidentified(docs: DataFrame, model: Model, least: float = 0.5, most_word: int = 64, text_col: str = "text") -> DataFrame:
+def drop_unidentified(docs: DataFrame, model: Model, least: float = 0.5, most_word: int = 32, text_col: str = "text") -> DataFrame:
     """docs with all their columns, without texts in no learned language: no letter, or no language of probability `least`. A model without languages judges nothing."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)

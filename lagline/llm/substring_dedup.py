@@ -38,7 +38,7 @@ from ._arrow import (
     unpack,
     windows_of,
 )
-from ._store import partitions, ship
+from ._store import bucket_keys, partitions, ship
 
 _SCHEMA = "key int, kind int, payload binary"
 _ARROW = pa.schema([("key", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
@@ -111,7 +111,7 @@ def _windows(n: int, buckets: int):
 def _repeats(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         kinds, payloads = table.column("kind").to_numpy(), table.column("payload").to_pylist()
-        out = [(int(table.column("key")[0].as_py()), 1, p) for k, p in zip(kinds, payloads, strict=True) if k == 1]
+        out = [(int(table.column("bucket")[0].as_py()), 1, p) for k, p in zip(kinds, payloads, strict=True) if k == 1]
         own = [unpack(p) for k, p in zip(kinds, payloads, strict=True) if k == 0]
         if own:
             h = np.concatenate([c[0] for c in own])
@@ -190,8 +190,10 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     ship(spark)
-    buckets = 4 * partitions(spark)
+    buckets = partitions(spark)
+    key = F.element_at(F.array(*map(F.lit, bucket_keys(spark, buckets))), F.col("key") + 1).alias("key") if buckets <= 4096 else F.col("key")
+    dealt = lambda rows: rows.select(key, F.col("key").alias("bucket"), "kind", "payload")  # noqa: E731  one bucket to each partition
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    places = src.mapInArrow(_windows(window, buckets), _SCHEMA).groupBy("key").applyInArrow(_repeats(buckets), _SCHEMA)
+    places = dealt(src.mapInArrow(_windows(window, buckets), _SCHEMA)).groupBy("key").applyInArrow(_repeats(buckets), _SCHEMA)
     texts = src.mapInArrow(_texts(buckets), _SCHEMA)
-    return places.unionByName(texts).groupBy("key").applyInArrow(_removed(window), _OUT)
+    return dealt(places.unionByName(texts)).groupBy("key").applyInArrow(_removed(window), _OUT)

@@ -69,9 +69,12 @@ def start_date(options: dict, name: str, column: str) -> str:
 
 
 def core(df: DataFrame, time: Column, entity: Column, amount: Column, label: Column) -> DataFrame:
-    """Core columns first; the source's columns follow, but for those that a core one replaces."""
+    """Core columns first; the source's columns follow, but for those that a core one replaces.
+
+    Names differ by case alone to no reader of Spark's: such a source column gets the suffix _raw.
+    """
     made = {"event_time": time.cast("timestamp_ntz"), "entity_id": entity.cast("string"), "amount": amount.cast("double"), "is_fraud": label.cast("boolean")}
-    return df.select(*[c.alias(n) for n, c in made.items()], *[F.col(f"`{c}`") for c in df.columns if c not in made])
+    return df.select(*[c.alias(n) for n, c in made.items()], *[F.col(f"`{c}`").alias(f"{c}_raw" if c.lower() in made else c) for c in df.columns if c not in made])
 
 
 @register

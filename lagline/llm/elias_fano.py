@@ -38,8 +38,21 @@ def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     return {"low": low, "high": words, "zeros": zeros.astype(np.uint32 if zeros[-1] < 1 << 32 else np.uint64), "shape": np.array([n, width, universe], np.uint64)}
 
 
+def _select(word: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Position of the left-th set bit (from 0) of each word."""
+    pos = np.zeros(len(word), np.uint64)
+    for size in (32, 16, 8, 4, 2, 1):
+        ones = np.bitwise_count(word & np.uint64((1 << size) - 1)).astype(np.int64)
+        go = left >= ones
+        left = np.where(go, left - ones, left)
+        step = np.where(go, np.uint64(size), np.uint64(0))
+        word, pos = word >> step, pos + step
+    return pos.astype(np.int64)
+
+
 class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray]):
+        self._ones: np.ndarray | None = None
         self.n, self.width, self.universe = (int(x) for x in arrays["shape"])
         self.high, self.zeros = arrays["high"], arrays["zeros"]
         raw = arrays["low"]
@@ -55,14 +68,7 @@ class EliasFano:
     def _select0(self, k: np.ndarray) -> np.ndarray:
         """Position of the k-th zero (from 0)."""
         w = np.searchsorted(self.zeros, k, "right") - 1
-        left = k - self.zeros[w].astype(np.int64)
-        word, pos = ~self.high[w], np.zeros(len(k), np.uint64)
-        for size in (32, 16, 8, 4, 2, 1):
-            ones = np.bitwise_count((word >> pos) & np.uint64((1 << size) - 1)).astype(np.int64)
-            go = left >= ones
-            left = left - np.where(go, ones, 0)
-            pos = pos + np.where(go, np.uint64(size), np.uint64(0))
-        return w * 64 + pos.astype(np.int64)
+        return w * 64 + _select(~self.high[w], k - self.zeros[w].astype(np.int64))
 
     def successor(self, x: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For each x: the first index (within [begin, end)) of a value >= x, and whether it equals x."""
@@ -89,14 +95,12 @@ class EliasFano:
         return np.where(beyond, self.n, lo), found & ~beyond
 
     def at(self, i: np.ndarray) -> np.ndarray:
-        """The values at indices i, by bisecting the zeros (for pointers, whose lists are short)."""
-        lo, hi = np.zeros(len(i), np.int64), np.full(len(i), max((self.universe - 1) >> self.width, 0), np.int64)
-        while (lo < hi).any():  # the smallest h whose values end after i
-            mid = (lo + hi) >> 1
-            past = self._select0(mid) - mid > i
-            hi = np.where(past, mid, hi)
-            lo = np.where(past, lo, mid + 1)
-        return (lo.astype(np.uint64) << np.uint64(self.width)) | self._low(i)
+        """The values at indices i: the high part is the position of the i-th one, less i."""
+        if self._ones is None:
+            self._ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros.astype(np.int64)
+        w = np.searchsorted(self._ones, i, "right") - 1
+        high = w * 64 + _select(self.high[w], i - self._ones[w]) - i
+        return (high.astype(np.uint64) << np.uint64(self.width)) | self._low(i)
 
 
 def dump(arrays: dict[str, np.ndarray]) -> bytes:

@@ -86,6 +86,18 @@ def mapped(path: str) -> dict[str, np.ndarray]:
     return _mapped[path]
 
 
+_coded: dict[tuple[str, str], EliasFano] = {}
+
+
+def coded(path: str, name: str) -> EliasFano:
+    """One coded sequence of a shard."""
+    if (path, name) not in _coded:
+        if len(_coded) > 60_000:
+            _coded.clear()
+        _coded[path, name] = EliasFano(part(mapped(path), name + "."))
+    return _coded[path, name]
+
+
 @dataclass
 class Trie:
     """Where the levels lie. Small: a few numbers per shard."""
@@ -111,7 +123,7 @@ class Trie:
                 continue
             arrays = mapped(f"{self.at}/1-{b}")
             at = at[h[at] >= arrays["base"][0]]
-            i, found = EliasFano(part(arrays, "words.")).successor(h[at] - arrays["base"][0])
+            i, found = coded(f"{self.at}/1-{b}", "words").successor(h[at] - arrays["base"][0])
             out[at[found]] = i[found] + self.offsets[b]
             count[at[found]] = arrays["counts"][i[found]]
         return out, count
@@ -127,29 +139,38 @@ class Trie:
         return out
 
     def find(self, level: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(node or -1, log10 p of the seen) for pairs of a context node of the level below and a word id."""
+        """(node or -1, log10 p of the seen) for pairs of a context node of the level below and a word id.
+
+        Works on distinct pairs in key order: a shard's are side by side, and each context is looked up once.
+        """
         out, logp = np.full(len(word), -1, np.int64), np.zeros(len(word))
         some = np.flatnonzero((context >= 0) & (word >= 0))
-        key = context[some].astype(np.uint64) * np.uint64(self.words) + word[some].astype(np.uint64)
-        shard = np.searchsorted(self.cuts[level], key, "right") - 1
-        for b in np.unique(shard):
-            if self.starts[level][b + 1] == self.starts[level][b]:
-                continue
-            own = some[shard == b]
-            arrays = mapped(f"{self.at}/{level}-{b}")
-            base = int(arrays["base"][0])
-            c = context[own] - base
-            inside = (c >= 0) & (c < int(arrays["base"][1]))
-            own, c = own[inside], c[inside]
-            rank, has = EliasFano(part(arrays, "contexts.")).successor(c)
-            own, rank = own[has], rank[has]
-            pointers = EliasFano(part(arrays, "pointers."))
-            begin, end = pointers.at(rank).astype(np.int64), pointers.at(rank + 1).astype(np.int64)
-            want = rank.astype(np.uint64) * np.uint64(self.words) + word[own].astype(np.uint64)
-            i, found = EliasFano(part(arrays, "next.")).successor(want, begin, end)
-            own, i = own[found], i[found]
-            out[own] = i + self.starts[level][b]
-            logp[own] = arrays["codebook"][arrays["codes"][i]]
+        v = np.uint64(self.words)
+        key, back = np.unique(context[some].astype(np.uint64) * v + word[some].astype(np.uint64), return_inverse=True)
+        node, p = np.full(len(key), -1, np.int64), np.zeros(len(key))
+        edges = np.append(np.searchsorted(key, self.cuts[level]), len(key))
+        for b in np.flatnonzero((edges[1:] > edges[:-1]) & (np.diff(self.starts[level]) > 0)):
+            own = key[edges[b] : edges[b + 1]]
+            shard = f"{self.at}/{level}-{b}"
+            arrays = mapped(shard)
+            base, span = (int(x) for x in arrays["base"])
+            c, w = (own // v).astype(np.int64) - base, own % v
+            cut = runs(c)
+            lone = c[cut[:-1]]
+            ok = (lone >= 0) & (lone < span)
+            rank, has = np.zeros(len(lone), np.int64), np.zeros(len(lone), bool)
+            rank[ok], has[ok] = coded(shard, "contexts").successor(lone[ok])
+            at, begin, end = rank[has], np.zeros(len(lone), np.int64), np.zeros(len(lone), np.int64)
+            begin[has] = coded(shard, "pointers").at(at).astype(np.int64)
+            end[has] = coded(shard, "pointers").at(at + 1).astype(np.int64)
+            of = np.repeat(np.arange(len(lone)), np.diff(cut))
+            row = np.flatnonzero(has[of])
+            of = of[row]
+            i, found = coded(shard, "next").successor(rank[of].astype(np.uint64) * v + w[row], begin[of], end[of])
+            row, i = row[found] + edges[b], i[found]
+            node[row] = i + self.starts[level][b]
+            p[row] = arrays["codebook"][arrays["codes"][i]]
+        out[some], logp[some] = node[back], p[back]
         return out, logp
 
 
@@ -363,7 +384,7 @@ def train(docs: DataFrame, order: int = 2, mu: float = 4.0, id_col: str = "doc_i
 def _score(trie):
     def run(batches):
         t = trie.value
-        for doc_ids, h, first in _tokens(batches, 300_000):
+        for doc_ids, h, first in _tokens(batches, 1_000_000):
             wid, count, _, _, found = nodes(t, t.order if t.words else 1, h, first)
             doc = np.repeat(np.arange(len(doc_ids)), np.diff(first))
             total = lambda x: np.bincount(doc, weights=x, minlength=len(doc_ids))  # noqa: E731, B023

@@ -57,7 +57,8 @@ def assign_reported_at(df: DataFrame, delay: Delay, column: str = "reported_at",
     """
     spark = df.sparkSession
     ends = df.where("campaign_id is not null").groupBy("campaign_id").agg(F.max(micros(F.col(time))).alias("__end"))
-    n = (ends.agg(F.max("campaign_id")).first()[0] or -1) + 1 if ends.head(1) else 0
+    top = ends.agg(F.max("campaign_id")).first()[0]
+    n = 0 if top is None else top + 1
     end = ends.join(draws(spark, delay, n), "campaign_id").select(F.col("campaign_id").alias("__c"), from_micros(F.col("__end") + F.col("delay_us")).alias(column))
     return df.join(end, df["campaign_id"] == end["__c"], "left").drop("__c")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import keyed, micros
-from .splits import running_total
+from .splits import day_of, running_total
 
 #: Share of the rows and number of levels that a capped vocabulary keeps.
 COVERAGE, MAX_LEVELS = 0.99, 256
@@ -95,16 +95,16 @@ def chronological_rate(df: DataFrame, column: str, label: Column, train: Column,
     us = micros(F.col(time))
     rows = df.withColumns({"__y": F.when(train, label.cast("long")).otherwise(0), "__w": train.cast("long"), "__us": us, "__key": keyed(F.col(column))})
     per = rows.groupBy("__us").agg(F.sum("__y").alias("__sy"), F.sum("__w").alias("__sw"))
-    per = running_total(running_total(per, "__us", "__sy", "__cy"), "__us", "__sw", "__cw")
+    per = running_total(per, "__us", {"__cy": "__sy", "__cw": "__sw"}, day_of("__us"))
+    every = per.agg(F.max("__cy").alias("__ally"), F.max("__cw").alias("__allw"))
     per = per.select(F.col("__us").alias("__t"), (F.col("__cy") - F.col("__sy")).alias("__by"), (F.col("__cw") - F.col("__sw")).alias("__bw"))
     inst = Window.partitionBy("__us").orderBy(*rid).rowsBetween(Window.unboundedPreceding, -1)
-    own = Window.partitionBy("__key").orderBy("__us", *rid).rowsBetween(Window.unboundedPreceding, -1)
+    key = Window.partitionBy("__key")
+    own = key.orderBy("__us", *rid).rowsBetween(Window.unboundedPreceding, -1)
     z = lambda c: F.coalesce(c, F.lit(0))
-    rows = rows.withColumns({"__py": z(F.sum("__y").over(inst)), "__pw": z(F.sum("__w").over(inst)), "__ky": z(F.sum("__y").over(own)), "__kw": z(F.sum("__w").over(own))})
-    rows = rows.join(per, rows["__us"] == per["__t"])
-    totals = rows.groupBy(F.col("__key").alias("__k")).agg(F.sum("__y").alias("__ty"), F.sum("__w").alias("__tw"))
-    every = rows.agg(F.sum("__y").alias("__ally"), F.sum("__w").alias("__allw"))
-    rows = rows.join(totals, rows["__key"] == totals["__k"]).crossJoin(F.broadcast(every))
+    rows = rows.withColumns({"__ky": z(F.sum("__y").over(own)), "__kw": z(F.sum("__w").over(own)), "__ty": F.sum("__y").over(key), "__tw": F.sum("__w").over(key)})
+    rows = rows.withColumns({"__py": z(F.sum("__y").over(inst)), "__pw": z(F.sum("__w").over(inst))})
+    rows = rows.join(per, rows["__us"] == per["__t"]).crossJoin(F.broadcast(every))
     prior = lambda y, n: (y + F.lit(PRIOR_POSITIVES)) / (n + F.lit(PRIOR_ROWS))
     past = (F.col("__ky") + ALPHA * prior(F.col("__by") + F.col("__py"), F.col("__bw") + F.col("__pw"))) / (F.col("__kw") + ALPHA)
     whole = (F.col("__ty") + ALPHA * prior(F.col("__ally"), F.col("__allw"))) / (F.col("__tw") + ALPHA)

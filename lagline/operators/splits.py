@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import micros
+from ..functions import scalars as S
 
 NAMES = ("train", "val", "test")
 #: The seed of the fixed random splits, the ratios of the three-way study, and its population's end.
@@ -30,33 +30,53 @@ def check_ratios(ratios) -> tuple[float, float, float]:
     return tuple(float(r) for r in ratios)
 
 
-def running_total(per: DataFrame, order: str, value: str, name: str, buckets: int = 256) -> DataFrame:
-    """per with the inclusive running sum of value by order (a bigint), in two levels.
+def running_total(per: DataFrame, order: str, values: dict[str, str], bucket: Column) -> DataFrame:
+    """per with inclusive running sums (name -> column) by order, in two levels.
 
-    Rows are put into equal-width buckets of the order; buckets are summed first (a bounded
-    number of rows), then each bucket runs on its own: no task sees the whole table.
+    bucket rises with order and has a bounded number of values (days, the top bits of a
+    hash): buckets are summed first, then each runs on its own, so that no task sees the whole
+    table. Both levels read the same exchange of per.
     """
-    edge = per.agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
-    width = F.greatest(F.ceil((F.col("__hi") - F.col("__lo") + 1) / F.lit(buckets)), F.lit(1))
-    rows = per.crossJoin(F.broadcast(edge)).withColumn("__b", F.floor((F.col(order) - F.col("__lo")) / width).cast("long")).drop("__lo", "__hi")
-    sums = rows.groupBy("__b").agg(F.sum(value).alias("__s"))
-    base = F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select("__b", F.coalesce(base, F.lit(0)).alias("__base"))
-    own = F.sum(value).over(Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(F.broadcast(sums), "__b").withColumn(name, F.col("__base") + own).drop("__b", "__base")
+    rows = per.withColumn("__b", bucket)
+    sums = rows.groupBy("__b").agg(*[F.sum(c).alias(f"__s_{n}") for n, c in values.items()])
+    w = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("__b", *[F.coalesce(F.sum(f"__s_{n}").over(w), F.lit(0)).alias(f"__base_{n}") for n in values])
+    own = Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(sums, "__b").withColumns({n: F.col(f"__base_{n}") + F.sum(c).over(own) for n, c in values.items()})
+    return out.drop("__b", *[f"__base_{n}" for n in values])
 
 
-def cuts_by_share(df: DataFrame, fractions: list[float], time: str = "event_time") -> DataFrame:
-    """One row: cut0, cut1, ... the first timestamp whose cumulative share of rows is at least each fraction.
+def day_of(us: str) -> Column:
+    """A bucket for running totals over microseconds: at most 366 a year of data."""
+    return F.floor(F.col(us) / S.DAY_US)
+
+
+def hash_bucket(h: str) -> Column:
+    """A bucket for running totals over 64-bit hashes: 256 of them."""
+    return F.shiftright(h, 56)
+
+
+def instants(df: DataFrame, time: str) -> DataFrame:
+    """(t, n, us, cum): rows of each instant, and of all instants up to it."""
+    per = df.groupBy(F.col(time).alias("t")).agg(F.count(F.lit(1)).alias("n")).withColumn("us", S.micros(F.col("t")))
+    return running_total(per, "us", {"cum": "n"}, day_of("us"))
+
+
+def instant(t) -> Column:
+    """A fetched timestamp as a literal; null if there's none."""
+    return F.lit(None if t is None else str(t)).cast("timestamp_ntz")
+
+
+def cuts_by_share(df: DataFrame, fractions: list[float], time: str = "event_time") -> list:
+    """For each fraction, the first timestamp whose cumulative share of rows is at least it. One job.
 
     Works on distinct timestamps. The share is a running sum over the total, never a
     percentile function, which differs where a fraction falls on a float boundary.
     """
-    per = df.groupBy(F.col(time).alias("__t")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__us", micros(F.col("__t")))
-    run = running_total(per, "__us", "__n", "__cum")
-    total = df.agg(F.count(F.lit(1)).alias("__total"))
-    share = F.col("__cum") / F.col("__total")
-    return run.crossJoin(F.broadcast(total)).agg(*[F.min(F.when(share >= f, F.col("__t"))).alias(f"cut{i}") for i, f in enumerate(fractions)])
+    run = instants(df, time)
+    total = run.agg(F.max("cum").alias("total"))
+    met = run.crossJoin(F.broadcast(total))
+    return list(met.agg(*[F.min(F.when(F.col("cum") / F.col("total") >= f, F.col("t"))) for f in fractions]).first())
 
 
 def _label(first: Column, second: Column) -> Column:
@@ -66,45 +86,43 @@ def _label(first: Column, second: Column) -> Column:
 def temporal(df: DataFrame, ratios=(0.8, 0.1, 0.1), time: str = "event_time") -> DataFrame:
     """df with split, cut on timestamp values (<=)."""
     a, b, _ = check_ratios(ratios)
-    cut = cuts_by_share(df, [a, a + b], time)
-    return df.crossJoin(F.broadcast(cut)).withColumn("split", _label(F.col(time) <= F.col("cut0"), F.col(time) <= F.col("cut1"))).drop("cut0", "cut1")
+    first, second = map(instant, cuts_by_share(df, [a, a + b], time))
+    return df.withColumn("split", _label(F.col(time) <= first, F.col(time) <= second))
 
 
 def keep_upstream_test(df: DataFrame, is_test: Column, val_fraction: float = 0.1, time: str = "event_time") -> DataFrame:
     """df with split: given test rows stay test, val is the last val_fraction of the others."""
-    cut = cuts_by_share(df.where(~is_test), [1.0 - val_fraction], time)
-    return df.crossJoin(F.broadcast(cut)).withColumn("split", F.when(is_test, F.lit("test")).when(F.col(time) <= F.col("cut0"), F.lit("train")).otherwise(F.lit("val"))).drop("cut0")
+    (cut,) = map(instant, cuts_by_share(df.where(~is_test), [1.0 - val_fraction], time))
+    return df.withColumn("split", F.when(is_test, F.lit("test")).when(F.col(time) <= cut, F.lit("train")).otherwise(F.lit("val")))
 
 
 def by_quantiles(df: DataFrame, at=(0.8, 0.9), time: str = "event_time") -> DataFrame:
     """df with split, cut on linearly interpolated time quantiles (<)."""
-    us = micros(F.col(time))
-    q = df.agg(*[F.percentile(us, F.lit(p)).alias(f"q{i}") for i, p in enumerate(at)])
-    return df.crossJoin(F.broadcast(q)).withColumn("split", _label(us < F.col("q0"), us < F.col("q1"))).drop("q0", "q1")
+    us = S.micros(F.col(time))
+    first, second = (F.lit(q) for q in df.agg(*[F.percentile(us, F.lit(p)) for p in at]).first())
+    return df.withColumn("split", _label(us < first, us < second))
 
 
-def cuts_by_rank(df: DataFrame, fractions: list[float], time: str = "event_time") -> DataFrame:
-    """One row: cut0, ... the time of 0-based rank int(fraction * n)."""
-    per = df.groupBy(F.col(time).alias("__t")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__us", micros(F.col("__t")))
-    run = running_total(per, "__us", "__n", "__cum")
-    total = df.agg(F.count(F.lit(1)).alias("__total"))
-    rank = lambda f: F.floor(F.lit(f) * F.col("__total"))
-    return run.crossJoin(F.broadcast(total)).agg(*[F.min(F.when(F.col("__cum") > rank(f), F.col("__t"))).alias(f"cut{i}") for i, f in enumerate(fractions)])
+def cuts_by_rank(df: DataFrame, fractions: list[float], time: str = "event_time") -> tuple[list, int, object]:
+    """For each fraction the time of 0-based rank int(fraction * n); also n and the first time. One job."""
+    run = instants(df, time)
+    met = run.crossJoin(F.broadcast(run.agg(F.max("cum").alias("total"))))
+    row = met.agg(F.max("total"), F.min("t"), *[F.min(F.when(F.col("cum") > F.floor(F.lit(f) * F.col("total")), F.col("t"))) for f in fractions]).first()
+    return list(row[2:]), row[0] or 0, row[1]
 
 
 def by_order_statistics(df: DataFrame, fractions=(0.68, 0.84), time: str = "event_time") -> DataFrame:
     """df with split; rows tied at a cut go to the later part."""
-    cut = cuts_by_rank(df, list(fractions), time)
-    return df.crossJoin(F.broadcast(cut)).withColumn("split", _label(F.col(time) < F.col("cut0"), F.col(time) < F.col("cut1"))).drop("cut0", "cut1")
+    first, second = map(instant, cuts_by_rank(df, list(fractions), time)[0])
+    return df.withColumn("split", _label(F.col(time) < first, F.col(time) < second))
 
 
 def check_order_statistics(df: DataFrame, fractions=(0.68, 0.84), time: str = "event_time") -> None:
     """Raises if by_order_statistics would leave a part empty."""
-    cut = cuts_by_rank(df, list(fractions), time)
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.min(time).alias("low")).crossJoin(cut).first()
-    if row["n"] < 4:
+    (first, second), n, low = cuts_by_rank(df, list(fractions), time)
+    if n < 4:
         raise ValueError("at least four rows are needed")
-    if row["cut0"] == row["low"] or row["cut0"] == row["cut1"]:
+    if first == low or first == second:
         raise ValueError("tied timestamps leave a part empty")
 
 
@@ -113,11 +131,11 @@ def by_position(df: DataFrame, rid: tuple[str, ...], fractions=(0.8, 0.9), time:
 
     Places come from the running count of earlier instants plus the place within the instant.
     """
-    per = df.groupBy(F.col(time).alias("__t")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__us", micros(F.col("__t")))
-    run = running_total(per, "__us", "__n", "__cum").select("__t", (F.col("__cum") - F.col("__n")).alias("__before"))
-    total = df.agg(F.count(F.lit(1)).alias("__total"))
+    run = instants(df, time)
+    total = run.agg(F.max("cum").alias("__total"))
+    before = run.select(F.col("t").alias("__t"), (F.col("cum") - F.col("n")).alias("__before"))
     place = F.col("__before") + F.row_number().over(Window.partitionBy(time).orderBy(*rid)) - 1
-    rows = df.join(run, df[time] == run["__t"]).crossJoin(F.broadcast(total)).withColumn("__p", place)
+    rows = df.join(before, df[time] == before["__t"]).crossJoin(F.broadcast(total)).withColumn("__p", place)
     cut = [F.floor(F.lit(f) * F.col("__total")) for f in fractions]
     return rows.withColumn("split", _label(F.col("__p") < cut[0], F.col("__p") < cut[1])).drop("__t", "__before", "__total", "__p")
 
@@ -184,29 +202,28 @@ def by_customer(df: DataFrame, seed: int = SPLIT_SEED, ratios=(0.8, 0.1, 0.1), e
     return df.join(made, df[entity].eqNullSafe(made["__e"]), "left").drop("__e")
 
 
+def _hash_place(df: DataFrame, seed: int, keys: tuple[str, ...]) -> DataFrame:
+    """df with __p, its 0-based place in the order of a seeded hash of the keys, and __total."""
+    df = df.withColumn("__h", F.xxhash64(F.lit(seed), *keys))
+    run = running_total(df.groupBy("__h").agg(F.count(F.lit(1)).alias("__n")), "__h", {"__cum": "__n"}, hash_bucket("__h"))
+    total = run.agg(F.max("__cum").alias("__total"))
+    place = F.col("__cum") - F.col("__n") + F.row_number().over(Window.partitionBy("__h").orderBy(*keys)) - 1
+    return df.join(run, "__h").crossJoin(F.broadcast(total)).withColumn("__p", place).drop("__h", "__n", "__cum")
+
+
 def by_window(df: DataFrame, seed: int = SPLIT_SEED, ratios=(0.8, 0.1, 0.1), keys: tuple[str, ...] = ("rid",)) -> DataFrame:
     """df with split: exact shares int(r0 * n), int(r1 * n), the rest, by the rank of a seeded hash of the keys."""
     a, b, _ = check_ratios(ratios)
-    h = F.xxhash64(F.lit(seed), *keys)
-    ranked = running_total(df.groupBy(h.alias("__h")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__us", F.shiftright("__h", 1)), "__us", "__n", "__cum")
-    total = df.agg(F.count(F.lit(1)).alias("__total"))
-    place = F.col("__cum") - F.col("__n") + F.row_number().over(Window.partitionBy("__h").orderBy(*keys)) - 1
-    rows = df.withColumn("__h", h).join(ranked.select("__h", "__n", "__cum"), "__h").crossJoin(F.broadcast(total)).withColumn("__p", place)
-    first, second = F.floor(F.lit(a) * F.col("__total")), F.floor(F.lit(a) * F.col("__total")) + F.floor(F.lit(b) * F.col("__total"))
-    return rows.withColumn("split", _label(F.col("__p") < first, F.col("__p") < second)).drop("__h", "__n", "__cum", "__total", "__p")
+    first = F.floor(F.lit(a) * F.col("__total"))
+    second = first + F.floor(F.lit(b) * F.col("__total"))
+    return _hash_place(df, seed, keys).withColumn("split", _label(F.col("__p") < first, F.col("__p") < second)).drop("__total", "__p")
 
 
 def downsample(df: DataFrame, label: str, seed: int = 1729, keys: tuple[str, ...] = ("rid",)) -> DataFrame:
     """All positives and as many negatives, those of the smallest seeded hashes; a short side is kept whole."""
-    n = df.where(F.col(label)).count()
-    if n == 0:
-        return df.limit(0)
     pos, neg = df.where(F.col(label)), df.where(~F.coalesce(F.col(label), F.lit(False)))
-    h = F.xxhash64(F.lit(seed), *keys)
-    run = running_total(neg.groupBy(h.alias("__h")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__us", F.shiftright("__h", 1)), "__us", "__n", "__cum")
-    place = F.col("__cum") - F.col("__n") + F.row_number().over(Window.partitionBy("__h").orderBy(*keys))
-    took = neg.withColumn("__h", h).join(run.select("__h", "__n", "__cum"), "__h").withColumn("__p", place).where(F.col("__p") <= n)
-    return pos.unionByName(took.drop("__h", "__n", "__cum", "__p"))
+    n = pos.count()
+    return pos.unionByName(_hash_place(neg, seed, keys).where(F.col("__p") < n).drop("__p", "__total"))
 
 
 def check_split(df: DataFrame, label: str | None = None) -> dict[str, int]:

@@ -71,7 +71,7 @@ def describe(df: DataFrame, name: str, config: Config, own_split: bool, dropped:
     split = {"strategy": f"supplied by the {name} source" if own_split else "temporal, cut on timestamp values", "counts": check_split(df)}
     if not own_split:
         a, b, _ = config.ratios
-        cut = cuts_by_share(df, [a, a + b]).first()
+        cut = cuts_by_share(df, [a, a + b])
         split |= {"ratios": list(config.ratios), "train_end": cut[0].isoformat(), "val_end": cut[1].isoformat()}
     return {
         "name": name,

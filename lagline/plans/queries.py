@@ -349,10 +349,10 @@ SELECT count(*) AS positives, count(*) FILTER (reported_at > cut) AS hidden, rou
 )
 def censored_train_positives(spark, sf_dir):
     """Split, campaigns, delay and censoring together: train positives hidden at the train end."""
-    rows = splits.temporal(reported(spark, sf_dir, SLOW))
-    train = rows.where("split = 'train'")
-    end = train.agg(F.max("event_time").alias("cutoff"))
-    return censoring(train, end).select(F.col("known").alias("positives"), F.col("unreported").alias("hidden"), r6("share").alias("share"))
+    rows = reported(spark, sf_dir, SLOW)
+    (end,) = splits.cuts_by_share(canonical_orders(spark, sf_dir), [0.8])
+    cutoff = spark.range(1).select(splits.instant(end).alias("cutoff"))
+    return censoring(rows, cutoff).select(F.col("known").alias("positives"), F.col("unreported").alias("hidden"), r6("share").alias("share"))
 
 
 # Splits.

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import micros
+from ..operators.splits import instants
 
 REQUIRED = {"event_time": T.TimestampNTZType(), "entity_id": T.StringType(), "amount": T.DoubleType(), "is_fraud": T.BooleanType()}
 CORE = ("event_time", "entity_id", "amount", "is_fraud", "split", "reported_at")
@@ -54,15 +54,7 @@ def validate(df: DataFrame) -> None:
 
 
 def with_rid(df: DataFrame, keys: list[str]) -> DataFrame:
-    """df with rid: the row's number in the order of keys, which must be unique."""
-    from ..operators.splits import running_total
-
-    if "__us" in df.columns:
-        raise ValueError("__us is reserved")
-    per = df.withColumn("__us", micros(F.col(keys[0]))).groupBy("__us").agg(F.count(F.lit(1)).alias("__n"))
-    run = running_total(per, "__us", "__n", "__cum").select(F.col("__us").alias("__t"), (F.col("__cum") - F.col("__n")).alias("__before"))
-    from pyspark.sql import Window
-
-    own = F.row_number().over(Window.partitionBy("__us").orderBy(*keys[1:])) - 1
-    rows = df.withColumn("__us", micros(F.col(keys[0])))
-    return rows.join(run, rows["__us"] == run["__t"]).withColumn("rid", (F.col("__before") + own).cast("long")).drop("__us", "__t", "__before")
+    """df with rid: the row's number in the order of keys (a timestamp first), which must be unique."""
+    run = instants(df, keys[0]).select(F.col("t").alias("__t"), (F.col("cum") - F.col("n")).alias("__before"))
+    own = F.row_number().over(Window.partitionBy(keys[0]).orderBy(*keys[1:])) - 1
+    return df.join(run, df[keys[0]] == run["__t"]).withColumn("rid", (F.col("__before") + own).cast("long")).drop("__t", "__before")

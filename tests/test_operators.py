@@ -99,7 +99,7 @@ def test_customers_are_balanced():
 def test_running_total_matches_plain(spark):
     rng = np.random.default_rng(1)
     rows = [(int(k), int(v)) for k, v in zip(np.unique(rng.integers(0, 10**9, 500)), rng.integers(0, 9, 500), strict=False)]
-    got = splits.running_total(spark.createDataFrame(rows, "k long, v long"), "k", "v", "c", 16).orderBy("k").collect()
+    got = splits.running_total(spark.createDataFrame(rows, "k long, v long"), "k", {"c": "v"}, F.shiftright("k", 26)).orderBy("k").collect()
     assert [r["c"] for r in got] == np.cumsum([v for _, v in rows]).tolist()
 
 

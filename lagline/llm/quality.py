@@ -8,8 +8,7 @@ top-k: add standard Gumbel noise, drawn from the id, to the log weight, and take
 
 The raw model counts every document. The target model is fitted on at most
 `most_labelled` labelled documents (those of the smallest id hashes), whose ids are broadcast. Both
-models are arrays of bounded size; texts aren't shuffled. Because a text's sum grows with
-its length, the weight is taken per n-gram and scaled (`sharpness`), as usual.
+models are arrays of bounded size; texts aren't shuffled.
 
 Top-k is exact and has no global sort: counts by two levels of key intervals find the
 interval of the k-th key; only that interval is ranked.
@@ -57,17 +56,18 @@ def _count(buckets: int):
     return run
 
 
-def _weigh(ratio, sharpness: float):
+def _weigh(ratio):
     def run(batches):
         log = ratio.value
         for batch in batches:
             buf, offs = text_buffer(batch.column(1))
-            out = np.zeros(batch.num_rows)
+            out, mean = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             for a, b, words, first in hashed_words(buf, offs, SPACE, True):
                 g, doc = grams(words, first, len(log))
                 many = np.bincount(doc, minlength=b - a)
-                out[a:b] = np.bincount(doc, weights=log[g], minlength=b - a) / np.maximum(many, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), pa.array(out * sharpness)], names=["doc_id", "score", "log_weight"])
+                out[a:b] = np.bincount(doc, weights=log[g], minlength=b - a)
+                mean[a:b] = out[a:b] / np.maximum(many, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mean), pa.array(out)], names=["doc_id", "score", "log_weight"])
 
     return run
 
@@ -88,12 +88,12 @@ def log_ratio(docs: DataFrame, good_ids: DataFrame, buckets: int = 1 << 16, most
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def score(docs: DataFrame, ratio: np.ndarray, sharpness: float = 20.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, score (mean log ratio per n-gram), log_weight."""
+def score(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, score (mean log ratio per n-gram), log_weight (their sum)."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(ratio)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_weigh(sent, sharpness), "doc_id bigint, score double, log_weight double")
+    return rows.mapInArrow(_weigh(sent), "doc_id bigint, score double, log_weight double")
 
 
 def _interval(rows: DataFrame, level, k: int) -> tuple[int | None, int]:
@@ -106,7 +106,7 @@ def _interval(rows: DataFrame, level, k: int) -> tuple[int | None, int]:
     return None, above
 
 
-def gumbel_top_k(scored: DataFrame, share: float = 0.5, seed: int = 11) -> DataFrame:
+def gumbel_top_k(scored: DataFrame, share: float = 0.75, seed: int = 11) -> DataFrame:
     """Adds key and selected: the `share` of the rows with the largest key, exactly.
 
     The driver sees counts of at most 2,048 intervals at each level.
@@ -116,10 +116,10 @@ def gumbel_top_k(scored: DataFrame, share: float = 0.5, seed: int = 11) -> DataF
     k = math.ceil(share * keyed.count())
     if k <= 0:
         return keyed.withColumn("selected", F.lit(False))
-    inner = F.greatest(F.least(F.col("key"), F.lit(64.0)), F.lit(-64.0))
-    coarse = F.floor(inner * 8).cast("long")
+    wide = F.asinh("key") * 48  # rises with the key; +-1,000 holds any weight
+    coarse = F.floor(wide).cast("long")
     top, above = _interval(keyed, coarse, k)
-    fine = F.floor((inner * 8 - F.lit(float(top))) * 1024).cast("long")
+    fine = F.floor((wide - F.lit(float(top))) * 1024).cast("long")
     edge, more = _interval(keyed.where(coarse == top), fine, k - above)
     in_edge = (coarse == top) & (fine == edge)
     ranked = keyed.where(in_edge).withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("key"), F.asc_nulls_first("doc_id"))))
@@ -127,6 +127,6 @@ def gumbel_top_k(scored: DataFrame, share: float = 0.5, seed: int = 11) -> DataF
     return rest.unionByName(ranked.withColumn("selected", F.col("r") <= k - above - more).drop("r"))
 
 
-def resample(docs: DataFrame, good_ids: DataFrame, share: float = 0.5, **options) -> DataFrame:
+def resample(docs: DataFrame, good_ids: DataFrame, share: float = 0.75, **options) -> DataFrame:
     """One row per row of docs: doc_id, score, log_weight, key, selected."""
     return gumbel_top_k(score(docs, log_ratio(docs, good_ids, **options)), share)

@@ -124,7 +124,7 @@ def op3_language_id(spark, sf_dir):
 @query
 def op7_quality(spark, sf_dir):
     good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
-    return quality.resample(table(spark, sf_dir, "documents"), good)
+    return quality.resample(table(spark, sf_dir, "documents"), good, share=0.75)
 
 
 @query

@@ -72,7 +72,7 @@ def test_op3(spark, duck, sf_dir):
 
 def test_op7(spark, duck, sf_dir):
     got = {r["doc_id"]: r for r in QUERIES["op7_quality"](spark, sf_dir).collect()}
-    assert sum(r["selected"] for r in got.values()) == math.ceil(len(got) / 2)
+    assert sum(r["selected"] for r in got.values()) == math.ceil(0.75 * len(got))
     cut = min(r["key"] for r in got.values() if r["selected"])
     assert all(r["selected"] == (r["key"] >= cut) for r in got.values())
     lab = duck.sql("SELECT doc_id, quality = 1 AND toxic = 0 AS good FROM labels").fetchall()

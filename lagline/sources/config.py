@@ -16,6 +16,7 @@ UNITS = {"us": 1, "ms": 1_000, "s": 1_000_000, "min": 60_000_000, "h": 3_600_000
 #: Options that a dataset may set.
 OPTIONS = ("start_date", "val_fraction", "entity_key", "delay", "campaign_gap")
 
+#: Defaults and datasets' own settings.
 DEFAULTS = """
 paths: {raw: data/raw, processed: data/processed}
 split: {ratios: [0.8, 0.1, 0.1]}

@@ -17,10 +17,11 @@ differ, so bit counts bound the overlap from above; what fails the bound is
 dropped unseen. Survivors are verified by intersecting the sorted arrays.
 
 A tile of few members gives all its pairs. A larger one gives each member's pairs with
-those 1, 2, 4, ... places before it and the first one; once these are joined up, only
-members of different components of a tile are compared, in blocks of bounded
-size, by their bitmaps. So a huge group of near copies costs about a pair per member and
-power of two, and no pair that could join two components is left out.
+the member before it and the first one. Of all these, each class first tries its
+smallest partner and the one that the bit counts favour; then what is left between
+different components is tried; only then are members of different components of a larger
+tile compared, in blocks of bounded size, by their bitmaps. So a huge group of near
+copies costs a few pairs per member, and no pair that could join two components is left out.
 
 Defined results: null or empty text has an empty set and links with nothing. A text
 with fewer words than n has its whole sequence as one shingle. A null id counts as no id:
@@ -238,11 +239,11 @@ def _pairs(small: int):
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         back = 1
         while back < (many.max() if len(many) else 0):
-            # Pairs with the row `back` places before: all of them in small tiles, powers of two in larger.
-            own = np.flatnonzero((place >= back) & ((left <= small) | (back & (back - 1) == 0)))
+            # Pairs with the row `back` places before: all of them in small tiles, the next before in larger.
+            own = np.flatnonzero((place >= back) & ((left <= small) | (back == 1)))
             a.append(doc[own - back])
             b.append(doc[own])
-            back = back + 1 if back < small else 1 << back.bit_length()
+            back = back + 1 if back < small else 1 << 62
         big = np.flatnonzero(left > small)
         star = big[place[big] > 0]
         a.append(doc[star - place[star]])
@@ -258,35 +259,57 @@ def _pairs(small: int):
 
 
 def _bound(rule: Rule):
-    """Keeps the pairs whose bit counts allow the overlap."""
+    """Keeps the pairs whose bit counts allow the overlap, with the share that they allow."""
 
     def run(batches):
         for batch in batches:
             na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            keep = []
+            keep, share = [], []
             for x, y, p, q in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), na.tolist(), nb.tolist(), strict=True):
                 over = (p + q - differing(x, y)) // 2
                 keep.append(rule.den * over >= rule.num * (p + q - over))
-            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+                share.append(over / max(p + q - over, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share, pa.float64())], names=["a", "b", "share"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _matrix(bits: list[bytes], rows: np.ndarray, width: int) -> np.ndarray:
+    """Parity bitmaps folded to width bytes, as 64-bit words."""
+    out = np.empty((len(rows), width // 8), np.uint64)
+    for k, i in enumerate(rows.tolist()):
+        x = np.frombuffer(bits[i], np.uint64)
+        while 8 * len(x) > width:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out[k] = x
+    return out
+
+
 def _blocks(rule: Rule):
     """Of two blocks of a larger tile (or one with itself): pairs from different components that the bit counts allow."""
 
     def run(table: pa.Table) -> pa.Table:
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        block = table.column("block").to_numpy()
-        cls, root, n, bits = (table.column(c).to_pylist() for c in ("cls", "root", "n", "bits"))
-        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        block, n = table.column("block").to_numpy(), table.column("n").to_numpy()
+        cls, bits = table.column("cls").to_pylist(), table.column("bits").to_pylist()
+        root = np.unique(np.array(table.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
+        width = np.array([len(x) for x in bits])
         out = set()
-        for i in left.tolist():
-            for j in right.tolist():
-                if root[i] != root[j] and rule.sizes_fit(n[i], n[j]):
-                    over = (n[i] + n[j] - differing(bits[i], bits[j])) // 2
-                    if rule.den * over >= rule.num * (n[i] + n[j] - over):
-                        out.add((min(cls[i], cls[j]), max(cls[i], cls[j])))
+        for x in np.unique(width):
+            for y in np.unique(width):
+                left, right = np.flatnonzero((block == lo) & (width == x)), np.flatnonzero((block == hi) & (width == y))
+                if not len(left) or not len(right):
+                    continue
+                a, b = _matrix(bits, left, min(x, y)), _matrix(bits, right, min(x, y))
+                differ = np.zeros((len(left), len(right)), np.int64)
+                for w in range(a.shape[1]):
+                    differ += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
+                size = n[left][:, None] + n[right][None, :]
+                over = np.minimum((size - differ) // 2, np.minimum(n[left][:, None], n[right][None, :]))
+                ok = (rule.den * over >= rule.num * (size - over)) & (root[left][:, None] != root[right][None, :])
+                for i, j in zip(*np.nonzero(ok), strict=True):
+                    p, q = cls[left[i]], cls[right[j]]
+                    out.add((min(p, q), max(p, q)))
         return pa.table([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["a", "b"])
 
     return run
@@ -345,7 +368,7 @@ class Join:
         self.found = written(chunks.groupBy("key").applyInArrow(_pairs(small), _PAIRS), "tiles")
 
     def _allowed(self) -> DataFrame:
-        """Candidate pairs of classes that pass size and bitmap bounds: a < b."""
+        """Candidate pairs of classes that pass size and bitmap bounds: a < b, and the share that the bits allow."""
         doc = self.meta.where("cls is not null").select("key", "cls", "n")
         pair = self.found.where("tile is null").select("a", "b").distinct()
         pair = pair.join(doc.toDF("a", "ca", "na"), "a").join(doc.toDF("b", "cb", "nb"), "b")
@@ -355,7 +378,7 @@ class Join:
         pair = pair.where((F.col("ca") != F.col("cb")) & fit).select(pick("ca", "cb").alias("a"), pick("cb", "ca").alias("b")).distinct()
         bits = self.classes.select("cls", "n", "bits")
         pair = pair.join(bits.toDF("a", "na", "xa"), "a").join(bits.toDF("b", "nb", "xb"), "b").select("a", "b", "na", "nb", "xa", "xb")
-        return written(pair.mapInArrow(_bound(self.rule), "a binary, b binary"), "pairs")
+        return written(pair.mapInArrow(_bound(self.rule), "a binary, b binary, share double"), "pairs")
 
     def _larger(self, roots: DataFrame | None) -> DataFrame:
         """Pairs of larger tiles' members in different components (or of any two classes) that the bounds allow."""
@@ -384,21 +407,35 @@ class Join:
     def roots(self) -> DataFrame:
         """(u, root) of every class that links with another."""
         allowed = self._allowed()
-        # First each class with its smallest neighbour; then only pairs that could join two components.
-        first = written(allowed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
-        links = self._linked(first)
-        roots = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
-        rest = allowed.join(first, ["a", "b"], "left_anti")
-        rest = rest.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
-        rest = rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        rest = written(rest.unionByName(self._larger(roots)).distinct().join(first, ["a", "b"], "left_anti"), "rest")
-        if not rest.isEmpty():
-            more = self._linked(rest)
-            if not more.isEmpty():
-                every = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
-                roots = written(components(every), "roots")
+        tried = written(self._first_tries(allowed), "first")
+        links, roots = None, None
+        for step in ("first", "rest", "larger"):
+            if step != "first":
+                more = self._between(allowed.select("a", "b"), roots) if step == "rest" else self._larger(roots)
+                more = written(more.join(tried, ["a", "b"], "left_anti"), step)
+                if more.isEmpty():
+                    continue
+                tried_now, tried = more, tried.unionByName(more)
+            else:
+                tried_now = tried
+            got = self._linked(tried_now).select(F.col("a").alias("u"), F.col("b").alias("v"))
+            if step == "first" or not got.isEmpty():
+                links = got if links is None else links.unionByName(got)
+                roots = written(components(links), "roots")
         return roots
 
+    def _first_tries(self, allowed: DataFrame) -> DataFrame:
+        """Each class with its smallest partner, and with the one that the bit counts favour (ties: the smallest)."""
+        small = allowed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        both = allowed.select(F.col("a").alias("x"), F.col("b").alias("y"), "share").unionByName(allowed.select(F.col("b").alias("x"), F.col("a").alias("y"), "share"))
+        best = both.groupBy("x").agg(F.max_by("y", F.struct("share", F.hash("y"), "y")).alias("y"))
+        return small.unionByName(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+
+    def _between(self, pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs of different components."""
+        both = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+        return both.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
     def members(self) -> DataFrame:
         """One row per row of docs: doc_id, n_shingles, component_id."""
         roots = self.roots().withColumnRenamed("u", "cls")
@@ -410,7 +447,7 @@ class Join:
 
     def links(self) -> DataFrame:
         """Every link between classes, named by their smallest ids: a, b, similarity."""
-        pairs = written(self._allowed().unionByName(self._larger(None)).distinct(), "every")
+        pairs = written(self._allowed().select("a", "b").unionByName(self._larger(None)).distinct(), "every")
         rep = self.classes.select("cls", "rep")
         out = self._linked(pairs).join(rep.toDF("a", "ra"), "a").join(rep.toDF("b", "rb"), "b")
         return out.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "similarity")

@@ -38,10 +38,10 @@ from ._store import ship, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Word types that a task remembers (batches are added whole).
-REMEMBERED = 200_000
-#: Words of one lattice.
-STEP = 20_000
+#: Word types that a task remembers.
+REMEMBERED = 150_000
+#: Words of one lattice; texts at a time.
+STEP, ROWS = 4_000, 200
 
 
 def read_vocabulary(path: str, most_piece: int = 12) -> list[str]:
@@ -53,10 +53,14 @@ def read_vocabulary(path: str, most_piece: int = 12) -> list[str]:
     return sorted({p for p in pieces if len(p) <= most_piece and LETTERS.fullmatch(p)})
 
 
-def words(text: str | None, most_word: int) -> list[str]:
-    out = LETTERS.findall(text.lower()) if text else []
-    if any(len(w) > most_word for w in out):
-        out = [w[i : i + most_word] for w in out for i in range(0, len(w), most_word)]
+def word_counts(text: str | None, most_word: int) -> dict[str, int]:
+    """The text's words and how often each is there; longer ones in stretches."""
+    out = Counter(LETTERS.findall(text.lower())) if text else Counter()
+    if out and max(map(len, out)) > most_word:
+        for w in [w for w in out if len(w) > most_word]:
+            n = out.pop(w)
+            for i in range(0, len(w), most_word):
+                out[w[i : i + most_word]] += n
     return out
 
 
@@ -151,21 +155,21 @@ def expected(model: Model, many: list[str], lang: np.ndarray, count: np.ndarray)
 
 def _count_words(most_word: int):
     def run(batches):
-        held: Counter = Counter()
+        held: dict[tuple[str, str], int] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for w, n in Counter(words(text, most_word)).items():
-                    held[lang, w] += n
-            if len(held) > REMEMBERED:
-                yield _counted(held)
-                held = Counter()
+                for w, n in word_counts(text, most_word).items():
+                    held[lang, w] = held.get((lang, w), 0) + n
+                if len(held) > REMEMBERED:
+                    yield _counted(held)
+                    held = {}
         if held:
             yield _counted(held)
 
     return run
 
 
-def _counted(held: Counter) -> pa.RecordBatch:
+def _counted(held: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), pa.array(list(held.values()), pa.int64())], names=["lang", "word", "n"])
 
 
@@ -217,23 +221,25 @@ def _predict(model, most_word: int):
         known, table = {}, np.empty((0, len(m.langs)))
         for batch in batches:
             lang, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
-            counts = [Counter(words(text, most_word)) for text in batch.column(1).to_pylist()] if m.langs else []
-            if len(known) > REMEMBERED:
-                known, table = {}, table[:0]
-            new = list(dict.fromkeys(w for c in counts for w in c if w not in known))
-            parts = [table]
-            for a in range(0, len(new), STEP):
-                parts.append(m.log_probs(new[a : a + STEP]))
-            known.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
-            table = np.concatenate(parts)
-            for i, c in enumerate(counts):
-                if not c:
-                    continue
-                at = np.fromiter((known[w] for w in c), np.int64, len(c))
-                total = m.prior + np.fromiter(c.values(), float, len(c)) @ table[at]
-                best = int(np.argmax(total))
-                lang[i] = m.langs[best]
-                score[i] = 1.0 / float(np.exp(np.minimum(total - total[best], 0.0)).sum())
+            for begin in range(0, batch.num_rows if m.langs else 0, ROWS):
+                texts = batch.column(1).slice(begin, ROWS).to_pylist()
+                counts = [word_counts(text, most_word) for text in texts]
+                if len(known) > REMEMBERED:
+                    known, table = {}, table[:0]
+                new = list(dict.fromkeys(w for c in counts for w in c if w not in known))
+                parts = [table]
+                for a in range(0, len(new), STEP):
+                    parts.append(m.log_probs(new[a : a + STEP]))
+                known.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
+                table = np.concatenate(parts)
+                for i, c in enumerate(counts, begin):
+                    if not c:
+                        continue
+                    at = np.fromiter((known[w] for w in c), np.int64, len(c))
+                    total = m.prior + np.fromiter(c.values(), float, len(c)) @ table[at]
+                    best = int(np.argmax(total))
+                    lang[i] = m.langs[best]
+                    score[i] = 1.0 / float(np.exp(np.minimum(total - total[best], 0.0)).sum())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return run

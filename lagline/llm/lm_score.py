@@ -259,16 +259,18 @@ def nodes(trie: Trie, level: int, h: np.ndarray, first: np.ndarray):
     return wid, count, end, starts, found
 
 
-def log_probs(trie: Trie, wid, count, found) -> np.ndarray:
-    """log10 p of each token by its longest context; shorter ones fill in what wasn't seen."""
+def by_orders(trie: Trie, count, found):
+    """p of each token by order, from the unigrams' up; shorter contexts fill in what wasn't seen."""
     p = unigram(trie, count)
+    yield p
     for k, (context, node, logp) in enumerate(found, 2):
+        p = p.copy()
         seen = node >= 0
         known = np.flatnonzero((context >= 0) & ~seen)
         c = trie.counts_of(k - 1, context[known])
         p[known] = trie.mu * p[known] / (c + trie.mu)
         p[seen] = 10.0 ** logp[seen]
-    return np.log10(p)
+        yield p
 
 
 def _count_grams(trie, level: int):
@@ -285,7 +287,7 @@ def _count_grams(trie, level: int):
             else:
                 context = np.concatenate(([-1], found[-1][1][:-1]))
                 context[starts] = -1
-                lower = 10.0 ** log_probs(t, wid, count, found)
+                *_, lower = by_orders(t, count, found)
             ok = context >= 0
             key, n, at = _summed(context[ok].astype(np.uint64) * np.uint64(t.words) + wid[ok].astype(np.uint64), np.ones(int(ok.sum()), np.int64))
             code = np.minimum(np.round(-np.log10(lower[ok][at]) * 2000), 65535).astype(np.uint16)
@@ -388,16 +390,19 @@ def _score(trie):
             wid, count, _, _, found = nodes(t, t.order if t.words else 1, h, first)
             doc = np.repeat(np.arange(len(doc_ids)), np.diff(first))
             total = lambda x: np.bincount(doc, weights=x, minlength=len(doc_ids))  # noqa: E731, B023
-            cols = [id_array(doc_ids), pa.array(np.diff(first).astype(np.int64)), pa.array(total(count > 0).astype(np.int64)), pa.array(total(np.log10(unigram(t, count)))), pa.array(total(log_probs(t, wid, count, found)))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            scores = [total(np.log10(p)) for p in by_orders(t, count, found)]
+            scores += scores[-1:] * (t.order - len(scores))  # no training texts, no levels
+            by_order = pa.ListArray.from_arrays(np.arange(len(doc_ids) + 1, dtype=np.int32) * t.order, np.stack(scores, axis=1).ravel())
+            cols = [id_array(doc_ids), pa.array(np.diff(first).astype(np.int64)), pa.array(total(count > 0).astype(np.int64)), pa.array(scores[0]), pa.array(scores[-1]), by_order]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "n_known", "base_score", "score", "by_order"])
 
     return run
 
 
 def score(docs: DataFrame, trie: Trie, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score (unigrams), score; both log10."""
+    """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score (unigrams), score (the trie's order), by_order (1 to that order); all log10."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(trie)
-    out = rows.mapInArrow(_score(sent), "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    out = rows.mapInArrow(_score(sent), "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double, by_order array<double>")
     return out.withColumn("train_tokens", F.lit(trie.total).cast("long"))

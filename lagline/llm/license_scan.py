@@ -1,6 +1,7 @@
 """License scans, JVM-side only: phrases, and an exact set-similarity join with templates.
 
-Text blocks are the lines of a text. A block meets a template if it holds at least
+Text blocks are the lines of a text, and of a text of several lines also, for each
+template, all runs of as many words as the template has, wherever lines break. A block meets a template if it holds at least
 `threshold` of the template's distinct words (containment). The join is exact:
 
 * the templates' words are ordered by how many blocks of the whole corpus hold them,
@@ -75,6 +76,15 @@ def block_counts(docs: DataFrame, words: list[str], text_col: str = "text") -> D
     return held.groupBy("word").agg(F.count(F.lit(1)).alias("blocks"))
 
 
+def _wrapped(words: Column, mine: Column, template: list[str], long: int, order: dict[str, int], threshold: float) -> Column:
+    """The best containment of the template in runs of `long` words; null if none meets the threshold, or if all the text doesn't."""
+    need = math.ceil(threshold * len(template) - 1e-9)
+    # A run that begins at another word holds no more than the one after it.
+    starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.element_at(words, i).isin(template))
+    best = F.array_max(F.transform(starts, lambda i: _met(F.slice(words, i, long), template, order, threshold)))
+    return F.when(F.size(F.array_intersect(F.array(*map(F.lit, template)), mine)) >= need, best)
+
+
 def _met(words: Column, template: list[str], order: dict[str, int], threshold: float) -> Column:
     """Containment of the template in a block's words if that meets the threshold, else null."""
     ranked = sorted(template, key=lambda w: (order.get(w, 0), w))
@@ -91,6 +101,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, phrases
     """
     phrases = PHRASES if phrases is None else phrases
     sets = template_sets(TEMPLATES if templates is None else templates)
+    lengths = [len(re.findall(WORDS, text.lower())) for texts in (TEMPLATES if templates is None else templates).values() for text in texts]
     vocabulary = sorted({w for _, ws in sets for w in ws})
     order = {r["word"]: r["blocks"] for r in block_counts(docs, vocabulary, text_col).collect()}
 
@@ -123,7 +134,13 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, phrases
         lambda ws: F.array(*[F.struct(F.lit(label).alias("label"), _met(ws, t, order, threshold).alias("share")) for label, t in sets]),
     )
     hits = F.filter(F.flatten(best), lambda x: x["share"].isNotNull())
-    rows = rows.withColumn("hits", hits)
+    # Notices wrapped over lines: only in texts of several lines that hold one of those words.
+    several = F.col("low").contains("\n") & F.col("low").rlike("|".join(map(re.escape, rare)))
+    rows = rows.withColumns({"hits": hits, "wide": F.when(several, words)})
+    rows = rows.withColumn("mine", F.array_intersect(F.array(*map(F.lit, vocabulary)), "wide"))
+    wrapped = F.array(*[F.struct(F.lit(label).alias("label"), _wrapped(F.col("wide"), F.col("mine"), t, n, order, threshold).alias("share")) for (label, t), n in zip(sets, lengths, strict=True)])
+    met = F.filter(wrapped, lambda x: x["share"].isNotNull())
+    rows = rows.withColumn("hits", F.when(F.col("wide").isNull(), F.col("hits")).otherwise(F.concat("hits", met)))
 
     base = F.array_compact(F.array(*[F.when(F.size(f"at_{label}") > 0, F.lit(label)) for label in phrases.values()]))
     every = F.concat(*[F.col(f"at_{label}") for label in phrases.values()])

@@ -20,7 +20,7 @@ from lagline.llm._store import written
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the corpus's own labels teach; those without a letter, or in no such language, go."""
+    """Documents with a letter, judged among the languages that the corpus's own labels teach; one in another language is nearly always kept."""
     return language_id.drop_unidentified(docs, language_id.train(docs))
 
 

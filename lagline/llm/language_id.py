@@ -268,7 +268,7 @@ def _keep(model, most_word: int, at: int, least: float):
 
 
 def drop_unidentified(docs: DataFrame, model: Model, least: float = 0.5, most_word: int = 32, text_col: str = "text") -> DataFrame:
-    """docs with all their columns, without texts in no learned language: no letter, or no language of probability `least`. A model without languages judges nothing."""
+    """docs with all their columns, without texts without a letter, or with no language of probability `least`. That probability is among the learned languages alone: a text of more than a few words in a language that wasn't learned is nearly always kept. A model without languages judges nothing."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_keep(sent, most_word, docs.columns.index(text_col), least), docs.schema)

@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 from test_cases import docs
-from test_queries import WORD, low, texts
+from test_llm_queries import WORD, low, texts
 
 from lagline.llm import license_scan
 from lagline.llm.queries import QUERIES

@@ -200,3 +200,27 @@ def by_bucket(bucket: np.ndarray, n_buckets: int):
 def spread(x: np.ndarray, n: int) -> np.ndarray:
     """A hash's bucket of n, by its high 32 bits."""
     return (((x >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
+def by_group(batches, keys: int):
+    """(key, table) of each run of rows that agree in the first `keys` columns (integers without nulls). Holds one run at a time."""
+    held, now = [], None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        change = np.zeros(n, dtype=bool)
+        change[0] = True
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        cut = np.append(np.flatnonzero(change), n)
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            key = tuple(int(c[a]) for c in cols)
+            if key != now and held:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held)

@@ -50,6 +50,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bucket_count(df: DataFrame, mb: int = 32) -> int:
+    """Buckets for what is made of df: one to each shuffle partition, and more of them if a bucket would stand for over `mb` of input as Spark estimates its size."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    n = partitions(df.sparkSession)
+    return n if size > 1 << 60 else max(n, min(-(-size // (mb << 20)), 1 << 16))  # no estimate: the largest number
+
+
 def _murmur(k: int) -> int:
     """Spark's hash of an int: Murmur3 with seed 42."""
     m = 0xFFFFFFFF

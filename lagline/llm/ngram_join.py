@@ -11,22 +11,30 @@ sets. At most e of them can be empty in both unless both sets leave 1 + e parts
 empty, and such sets emit their empty parts, too. So a linked pair always shares a
 tile (scheme, part, the part's content), and nothing else is compared.
 
-Bitmaps. Every set has a parity bitmap (one bit toggled per shingle, about a bit per
+Bitmaps. Every set has a parity bitmap (one bit toggled per shingle, four bits or more a
 shingle). The bits in which two bitmaps differ are at most the shingles in which the sets
 differ, so bit counts bound the overlap from above; what fails the bound is
 dropped unseen. Survivors are verified by intersecting the sorted arrays.
 
-A tile of few members gives all its pairs. A larger one gives each member's pairs with
-the member before it and the first one. Of all these, each class first tries its
-smallest partner and the one that the bit counts favour; then what is left between
-different components is tried; only then are members of different components of a larger
-tile compared, in blocks of bounded size, by their bitmaps. So a huge group of near
-copies costs a few pairs per member, and no pair that could join two components is left out.
+The work goes in two rounds, and neither writes a group's pairs out:
+
+* candidates. A tile of few members gives all its pairs; a larger one pairs its pivot (the
+  member with the most larger tiles, so the text that a group was copied from) with
+  each other. Pairs that pass the bound join classes into groups. In larger tiles whose members
+  are not yet one group, blocks of members are compared by their bitmaps within a task,
+  which returns a spanning forest: fewer rows than members.
+* verification. Each class's array goes once to its group's task, which joins what links by
+  union-find over exact intersections. A group too large for that first verifies two partners
+  of each class, and then compares blocks of what is still apart, each block pair in
+  a task of its own that returns a forest again.
+
+Every pair of a tile is thus compared, unless its two classes are in one component already.
 
 Defined results: null or empty text has an empty set and links with nothing. A text
 with fewer words than n has its whole sequence as one shingle. A null id counts as no id:
-it's reported as null and is never a component's smallest. Rows that repeat an id
-are judged each by its own text. Columns other than id and text are ignored.
+it's reported as null and is never a component's smallest. Rows that repeat an id, or
+have none, are judged each by its own text: inside, rows are told apart by what they hold.
+Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -39,18 +47,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._arrow import NULL_ID, SPACE, by_bucket, deltas, hashed_words, id_array, ids, mix, pack, roll, runs, spread, splitmix, text_buffer, undeltas, unpack, windows_of
-from ._store import bucket_keys, partitions, ship, written
+from ._arrow import SPACE, by_bucket, by_group, deltas, hashed_words, id_array, ids, mix, pack, roll, runs, spread, splitmix, text_buffer, undeltas, unpack, windows_of
+from ._store import bucket_count, bucket_keys, partitions, ship, written
 from .components import components
 
 #: Signatures that a map task holds at a time.
 SEGMENT = 3_000_000
-#: A tile of up to so many members gives all its pairs at once; a larger one in two steps.
+#: A tile of up to so many members gives all its pairs at once.
 SMALL_TILE = 16
-#: Members of a block of a larger tile.
-BLOCK = 1024
-#: Ids that are broadcast to pick texts; for more, the texts are shuffled to them.
-BROADCAST_IDS = 2_000_000
+#: Members of a block of a larger tile, which has their bitmaps.
+BLOCK = 4096
+#: Members, and shingles, of a group (or of a block of a larger group), which has their arrays.
+GROUP, GROUP_SHINGLES = 512, 4_000_000
+#: Rows that a task gathers before it hands them on.
+ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -112,8 +122,8 @@ def digests(g: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def bitmap(g: np.ndarray) -> bytes:
-    """Parity bitmap of 2^j bits, at least 64 and at least one a shingle."""
-    bits = max(64, 1 << max(0, len(g) - 1).bit_length())
+    """Parity bitmap of 2^j bits, at least 256 and at least four a shingle."""
+    bits = max(256, 1 << max(0, 4 * len(g) - 1).bit_length())
     count = np.bincount((g & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(count.astype(np.uint8), bitorder="little").tobytes()
 
@@ -128,30 +138,6 @@ def differing(a: bytes, b: bytes) -> int:
     return (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
 
 
-_META = "key bigint, doc_id bigint, n bigint, cls binary, bits binary"
-
-
-def _meta(rule: Rule):
-    def run(batches):
-        for batch in batches:
-            doc_ids = ids(batch.column(0))
-            buf, offs = text_buffer(batch.column(1))
-            n, cls, bits = np.zeros(len(doc_ids), np.int64), [], []
-            for a, g, first in shingle_sets(buf, offs, rule.n):
-                n[a : a + len(first) - 1] = np.diff(first)
-                d = digests(g, first)
-                for i in range(len(first) - 1):
-                    some = first[i + 1] > first[i]
-                    cls.append(d[i].tobytes() if some else None)
-                    bits.append(bitmap(g[first[i] : first[i + 1]]) if some else None)
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids), id_array(doc_ids), pa.array(n), pa.array(cls, pa.binary()), pa.array(bits, pa.binary())], names=["key", "doc_id", "n", "cls", "bits"])
-
-    return run
-
-
-_CHUNK = pa.schema([("key", pa.int32()), ("payload", pa.binary())])
-
-
 def signatures(g: np.ndarray, first: np.ndarray, scheme: int, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
     """Part signatures of sets in one scheme, and the set of each."""
     many = np.diff(first)
@@ -169,38 +155,59 @@ def signatures(g: np.ndarray, first: np.ndarray, scheme: int, k: int, m: int) ->
     return sig, d
 
 
-def _tiles(rule: Rule, buckets: int):
+# One scan gives two kinds of rows: a document's set (bucket null), and tile members packed by bucket.
+_SETS = "row bigint, doc_id bigint, n bigint, cls binary, c64 bigint, bits binary, bucket int, payload binary"
+_SET_FIELDS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("c64", pa.int64()), ("bits", pa.binary()), ("bucket", pa.int32()), ("payload", pa.binary())])
+
+
+def _sets(rule: Rule, buckets: int):
     schemes = [(s, *x) for s, x in enumerate(rule.schemes()) if x[2]]  # where k is 0, links are equal sets
 
     def segment(held):
-        sig, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(doc, kind="stable")
-        sig, doc = sig[order], doc[order]
-        rows = [(b, pack((sig[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32), deltas(doc[at]), raw=(0,))) for b, at in by_bucket(spread(sig, buckets), buckets)]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=_CHUNK)
+        sig, own = (np.concatenate(x) for x in zip(*held, strict=True))
+        rows = []
+        for b, at in by_bucket(spread(sig, buckets), buckets):
+            names, of = np.unique(own[at], return_inverse=True)
+            order = np.argsort(of, kind="stable")
+            rows.append((b, pack((sig[at][order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), names, np.diff(of[order], prepend=0).astype(np.uint32), raw=(0, 1))))
+        cols = [pa.nulls(len(rows), f.type) for f in _SET_FIELDS][:6]
+        return pa.RecordBatch.from_arrays([*cols, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=_SET_FIELDS)
 
     def run(batches):
         held, size, seen = [], 0, set()
         for batch in batches:
-            doc_ids = ids(batch.column(0))
-            buf, offs = text_buffer(batch.column(1))
+            n, cls, c64, bits = np.zeros(batch.num_rows, np.int64), [], [], []
+            buf, offs = text_buffer(batch.column(2))
             for a, g, first in shingle_sets(buf, offs, rule.n):
                 many = np.diff(first)
+                n[a : a + len(many)] = many
+                d = digests(g, first)
                 new = np.zeros(len(many), dtype=bool)
-                for i, d in enumerate(digests(g, first)):  # of equal sets of a segment, one goes on
-                    key = d.tobytes()
-                    new[i] = many[i] > 0 and key not in seen
+                for i in range(len(many)):
+                    if not many[i]:
+                        cls.append(None)
+                        c64.append(None)
+                        bits.append(None)
+                        continue
+                    key = d[i].tobytes()
+                    cls.append(key)
+                    c64.append(int(d[i, 0].astype(np.int64)))
+                    bits.append(bitmap(g[first[i] : first[i + 1]]))
+                    new[i] = key not in seen  # of equal sets of a segment, one goes on
                     seen.add(key)
                 for s, low, high, k, m in schemes:
                     own = np.flatnonzero(new & (many >= low) & (many <= high))
                     if len(own):
                         row = np.concatenate([np.arange(first[i], first[i + 1]) for i in own])
-                        sig, d = signatures(g[row], np.concatenate(([0], np.cumsum(many[own]))), s, k, m)
-                        held.append((sig, doc_ids[a + own[d]]))
+                        sig, of = signatures(g[row], np.concatenate(([0], np.cumsum(many[own]))), s, k, m)
+                        held.append((sig, d[own[of], 0].astype(np.int64)))
                         size += len(sig)
                 if size >= SEGMENT:
                     yield segment(held)
                     held, size, seen = [], 0, set()
+            none = batch.num_rows
+            cols = [batch.column(0), id_array(ids(batch.column(1))), pa.array(n), pa.array(cls, pa.binary()), pa.array(c64, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, schema=_SET_FIELDS)
         if size:
             yield segment(held)
 
@@ -212,13 +219,13 @@ _PAIR_FIELDS = pa.schema([("tile", pa.int64()), ("a", pa.int64()), ("b", pa.int6
 
 
 def _pairs(small: int):
-    """Of a bucket's tiles: candidate pairs (tile null), and the members of larger tiles (b null)."""
+    """Of a bucket's tiles: all pairs of small ones (tile null), and the members of larger ones (b null)."""
 
     def run(table: pa.Table) -> pa.Table:
         cols = [unpack(p) for p in table.column("payload").to_pylist()]
         bucket = table.column("bucket")[0].as_py()
         sig = np.concatenate([c[0] for c in cols])
-        doc = np.concatenate([undeltas(c[1]) for c in cols])
+        own = np.concatenate([c[1][np.cumsum(c[2])] for c in cols])
         order = np.argsort(sig, kind="stable")
         s = sig[order]
         twice = np.zeros(len(s), dtype=bool)
@@ -226,34 +233,27 @@ def _pairs(small: int):
         twice[1:] |= same
         twice[:-1] |= same
         at = order[twice]
-        sig, doc = sig[at], doc[at]
-        order = np.lexsort((doc, sig))
-        sig, doc = sig[order], doc[order]
+        sig, own = sig[at], own[at]
+        order = np.lexsort((own, sig))
+        sig, own = sig[order], own[order]
         keep = np.ones(len(sig), dtype=bool)
-        keep[1:] = (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])
-        sig, doc = sig[keep], doc[keep]
+        keep[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])
+        sig, own = sig[keep], own[keep]
         cut = runs(sig)
         many = np.diff(cut)
         left = many[np.searchsorted(cut, np.arange(len(sig)), "right") - 1] if len(sig) else many  # each row's tile size
         place = np.arange(len(sig)) - np.repeat(cut[:-1], many)
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        back = 1
-        while back < (many.max() if len(many) else 0):
-            # Pairs with the row `back` places before: all of them in small tiles, the next before in larger.
-            own = np.flatnonzero((place >= back) & ((left <= small) | (back == 1)))
-            a.append(doc[own - back])
-            b.append(doc[own])
-            back = back + 1 if back < small else 1 << 62
-        big = np.flatnonzero(left > small)
-        star = big[place[big] > 0]
-        a.append(doc[star - place[star]])
-        b.append(doc[star])
+        for back in range(1, small):
+            at = np.flatnonzero((place >= back) & (left <= small))
+            a.append(own[at - back])
+            b.append(own[at])
         ab = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), axis=1), axis=0)
-        ab = ab[ab[:, 0] != ab[:, 1]]
+        big = np.flatnonzero(left > small)
         none = np.zeros(len(ab), np.int64)
         tile = pa.array(np.concatenate((none, (sig[big].astype(np.int64) << 24) + bucket)), mask=np.concatenate((none == 0, np.zeros(len(big), bool))))
-        other = pa.array(np.concatenate((ab[:, 1], doc[big])), mask=np.concatenate((none != 0, np.ones(len(big), bool))))
-        return pa.table([tile, pa.array(np.concatenate((ab[:, 0], doc[big]))), other], schema=_PAIR_FIELDS)
+        other = pa.array(np.concatenate((ab[:, 1], own[big])), mask=np.concatenate((none != 0, np.ones(len(big), bool))))
+        return pa.table([tile, pa.array(np.concatenate((ab[:, 0], own[big]))), other], schema=_PAIR_FIELDS)
 
     return run
 
@@ -263,10 +263,9 @@ def _bound(rule: Rule):
 
     def run(batches):
         for batch in batches:
-            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             keep, share = [], []
-            for x, y, p, q in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), na.tolist(), nb.tolist(), strict=True):
-                over = (p + q - differing(x, y)) // 2
+            for x, y, p, q in zip(*(batch.column(k).to_pylist() for k in (4, 5, 2, 3)), strict=True):
+                over = min((p + q - differing(x, y)) // 2, p, q)
                 keep.append(rule.den * over >= rule.num * (p + q - over))
                 share.append(over / max(p + q - over, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share, pa.float64())], names=["a", "b", "share"]).filter(pa.array(keep, pa.bool_()))
@@ -274,58 +273,126 @@ def _bound(rule: Rule):
     return run
 
 
-def _matrix(bits: list[bytes], rows: np.ndarray, width: int) -> np.ndarray:
+def _folded(bits: list[bytes], width: int) -> np.ndarray:
     """Parity bitmaps folded to width bytes, as 64-bit words."""
-    out = np.empty((len(rows), width // 8), np.uint64)
-    for k, i in enumerate(rows.tolist()):
-        x = np.frombuffer(bits[i], np.uint64)
+    out = np.empty((len(bits), width // 8), np.uint64)
+    for k, x in enumerate(bits):
+        x = np.frombuffer(x, np.uint64)
         while 8 * len(x) > width:
             x = x[: len(x) // 2] ^ x[len(x) // 2 :]
         out[k] = x
     return out
 
 
-def _blocks(rule: Rule):
-    """Of two blocks of a larger tile (or one with itself): pairs from different components that the bit counts allow."""
+def _near(rule: Rule, n: np.ndarray, bits: list[bytes], step: int = 64):
+    """(i, others, overlap bounds) of members: all pairs that sizes and bit counts allow, each once."""
+    order = np.argsort(n, kind="stable")
+    size, width = n[order], np.array([len(bits[i]) for i in order])
+    top = np.searchsorted(size, size * rule.den // rule.num, "right")  # sizes beyond can't link
+    for w in np.unique(width).tolist():
+        begin, end = np.searchsorted(width, [w, w + 1])
+        stop = int(top[end - 1])
+        own = _folded([bits[i] for i in order[begin:stop]], w)
+        for p in range(begin, end, step):
+            q = min(p + step, end)
+            hi = int(top[q - 1])
+            x, y = own[p - begin : q - begin], own[p - begin : hi - begin]
+            differ = np.zeros((q - p, hi - p), np.int32)
+            for k in range(x.shape[1]):
+                differ += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+            both = size[p:q, None] + size[None, p:hi]
+            over = np.minimum((both - differ) // 2, size[p:q, None])
+            ok = np.triu(rule.den * over >= rule.num * (both - over), 1)
+            for r in np.flatnonzero(ok.any(axis=1)):
+                at = np.flatnonzero(ok[r])
+                yield int(order[p + r]), order[p + at], over[r, at]
+
+
+def _member_forest(rule: Rule):
+    """Of each larger tile (or pair of its blocks): the candidate pairs that join different groups, as a forest."""
+
+    def run(batches):
+        out = []
+        for (_, lo, hi), table in by_group(batches, 3):
+            c64, n = table.column("c64").to_numpy(), table.column("n").to_numpy()
+            block, label = table.column("block").to_numpy(), np.unique(table.column("root").to_numpy(), return_inverse=True)[1]
+            for i, others, _ in _near(rule, n, table.column("bits").to_pylist()):
+                js = others[(label[others] != label[i]) & ((block[others] != block[i]) | (lo == hi))]
+                for j in js:
+                    if label[j] != label[i]:
+                        out.append((int(c64[i]), int(c64[j])))
+                        label[label == label[j]] = label[i]
+            if len(out) >= ROWS:
+                yield _long_pairs(out)
+                out = []
+        if out:
+            yield _long_pairs(out)
+
+    return run
+
+
+def _long_pairs(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted arrays of distinct values."""
+    return len(np.intersect1d(x, y, assume_unique=True))
 
-    def run(table: pa.Table) -> pa.Table:
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        block, n = table.column("block").to_numpy(), table.column("n").to_numpy()
-        cls, bits = table.column("cls").to_pylist(), table.column("bits").to_pylist()
-        root = np.unique(np.array(table.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
-        width = np.array([len(x) for x in bits])
-        out = set()
-        for x in np.unique(width):
-            for y in np.unique(width):
-                left, right = np.flatnonzero((block == lo) & (width == x)), np.flatnonzero((block == hi) & (width == y))
-                if not len(left) or not len(right):
-                    continue
-                a, b = _matrix(bits, left, min(x, y)), _matrix(bits, right, min(x, y))
-                differ = np.zeros((len(left), len(right)), np.int64)
-                for w in range(a.shape[1]):
-                    differ += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
-                size = n[left][:, None] + n[right][None, :]
-                over = np.minimum((size - differ) // 2, np.minimum(n[left][:, None], n[right][None, :]))
-                ok = (rule.den * over >= rule.num * (size - over)) & (root[left][:, None] != root[right][None, :])
-                for i, j in zip(*np.nonzero(ok), strict=True):
-                    p, q = cls[left[i]], cls[right[j]]
-                    out.add((min(p, q), max(p, q)))
-        return pa.table([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["a", "b"])
+
+def _links(rule: Rule, every: bool):
+    """Of each group (or pair of a group's blocks): its links, verified; all of them, or a forest of those between components."""
+
+    def run(batches):
+        out = []
+        for (_, lo, hi), table in by_group(batches, 3):
+            cls, at = np.unique(np.array(table.column("cls").to_pylist(), dtype=object), return_index=True)
+            table = table.take(pa.array(at))  # a repeated row gives its class again
+            sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+            n = np.array([len(x) for x in sets], np.int64)
+            block, label = table.column("block").to_numpy(), np.unique(np.array(table.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
+            for i, others, over in _near(rule, n, [bitmap(x) for x in sets]):
+                keep = (block[others] != block[i]) | (lo == hi)
+                for j in others[keep][np.argsort(-over[keep], kind="stable")]:
+                    if not every and label[j] == label[i]:
+                        continue
+                    both = _overlap(sets[i], sets[j])
+                    size = n[i] + n[j] - both
+                    if rule.den * both >= rule.num * size:
+                        out.append((cls[i], cls[j], both / size))
+                        label[label == label[j]] = label[i]
+            if len(out) >= ROWS:
+                yield _cls_pairs(out)
+                out = []
+        if out:
+            yield _cls_pairs(out)
 
     return run
 
 
-def _own_texts(rule: Rule):
-    """Texts whose set is the wanted class."""
+def _cls_pairs(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.float64())], names=["a", "b", "similarity"])
+
+
+_LINKS = "a binary, b binary, similarity double"
+
+
+def _arrays(rule: Rule):
+    """The sorted shingles of the wanted classes' texts; of a task's equal ones, the first."""
 
     def run(batches):
+        seen = set()
         for batch in batches:
             cls = batch.column(0).to_pylist()
             buf, offs = text_buffer(batch.column(1))
-            keep = []
-            for _, g, first in shingle_sets(buf, offs, rule.n):
-                keep += [d.tobytes() for d in digests(g, first)]
-            yield batch.filter(pa.array([x == y for x, y in zip(cls, keep, strict=True)], pa.bool_()))
+            keep, sets = [], []
+            for a, g, first in shingle_sets(buf, offs, rule.n):
+                for i, d in enumerate(digests(g, first)):
+                    if cls[a + i] == d.tobytes() and cls[a + i] not in seen:  # else another text with this row hash
+                        seen.add(cls[a + i])
+                        keep.append(a + i)
+                        sets.append(g[first[i] : first[i + 1]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([cls[i] for i in keep], pa.binary()), pa.array(sets, pa.binary())], names=["cls", "shingles"])
 
     return run
 
@@ -335,17 +402,14 @@ def _verify(rule: Rule):
 
     def run(batches):
         for batch in batches:
-            sides = []
-            for c in (2, 3):
-                own = []
-                for _, g, first in shingle_sets(*text_buffer(batch.column(c)), rule.n):
-                    own += [g[x:y] for x, y in zip(first[:-1], first[1:], strict=True)]
-                sides.append(own)
-            over = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides, strict=True)], np.int64)
-            size = np.array([len(x) + len(y) for x, y in zip(*sides, strict=True)], np.int64)
-            ok = rule.den * over >= rule.num * (size - over)
-            share = over / np.maximum(size - over, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], names=["a", "b", "similarity"]).filter(pa.array(ok))
+            out = []
+            for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = _overlap(x, y)
+                if rule.den * both >= rule.num * (len(x) + len(y) - both):
+                    out.append((a, b, both / (len(x) + len(y) - both)))
+            if out:
+                yield _cls_pairs(out)
 
     return run
 
@@ -353,109 +417,144 @@ def _verify(rule: Rule):
 class Join:
     """The steps over one table; each written once in the shared folder."""
 
-    def __init__(self, docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL_TILE):
+    def __init__(self, docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL_TILE, block: int = BLOCK, group: int = GROUP):
         self.spark: SparkSession = docs.sparkSession
         ship(self.spark)
-        self.rule = rule
-        self.src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        self.meta = written(self.src.mapInArrow(_meta(rule), _META), "sets")
-        own = self.meta.where("cls is not null")
-        self.classes = written(own.groupBy("cls").agg(F.min("key").alias("key"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
-        buckets = partitions(self.spark)
-        chunks = self.src.mapInArrow(_tiles(rule, buckets), "key int, payload binary")
-        key = F.element_at(F.array(*map(F.lit, bucket_keys(self.spark, buckets))), F.col("key") + 1).alias("key") if buckets <= 4096 else F.col("key")
-        chunks = chunks.select(key, F.col("key").alias("bucket"), "payload")  # one bucket to each partition
-        self.found = written(chunks.groupBy("key").applyInArrow(_pairs(small), _PAIRS), "tiles")
-
-    def _allowed(self) -> DataFrame:
-        """Candidate pairs of classes that pass size and bitmap bounds: a < b, and the share that the bits allow."""
-        doc = self.meta.where("cls is not null").select("key", "cls", "n")
-        pair = self.found.where("tile is null").select("a", "b").distinct()
-        pair = pair.join(doc.toDF("a", "ca", "na"), "a").join(doc.toDF("b", "cb", "nb"), "b")
-        low = F.col("ca") < F.col("cb")
-        pick = lambda x, y: F.when(low, F.col(x)).otherwise(F.col(y))
+        self.rule, self.small, self.block, self.group = rule, small, block, group
+        self.src = docs.select(row_hash(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        buckets = bucket_count(self.src)
+        sets = written(self.src.mapInArrow(_sets(rule, buckets), _SETS), "sets")
+        self.meta = sets.where("bucket is null").select("row", "doc_id", "n", "cls", "c64", "bits")
+        agg = [F.min("row").alias("row"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("c64").alias("c64"), F.first("bits").alias("bits")]
+        self.classes = written(self.meta.where("cls is not null").groupBy("cls").agg(*agg), "classes")
+        chunks = sets.where("bucket is not null").select("bucket", "payload")
+        key = F.element_at(F.array(*map(F.lit, bucket_keys(self.spark, buckets))), F.col("bucket") + 1) if buckets <= 4096 else F.col("bucket")
+        self.found = written(chunks.select(key.alias("key"), "bucket", "payload").groupBy("key").applyInArrow(_pairs(small), _PAIRS), "tiles")  # one bucket to each partition
+
+    def _allowed(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs of classes (a, b), those that pass the bounds of sizes and bits, with the share that the bits allow."""
+        side = lambda x: self.classes.select(F.col("c64").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fit = F.least("na", "nb") * self.rule.den >= F.greatest("na", "nb") * self.rule.num
-        pair = pair.where((F.col("ca") != F.col("cb")) & fit).select(pick("ca", "cb").alias("a"), pick("cb", "ca").alias("b")).distinct()
-        bits = self.classes.select("cls", "n", "bits")
-        pair = pair.join(bits.toDF("a", "na", "xa"), "a").join(bits.toDF("b", "nb", "xb"), "b").select("a", "b", "na", "nb", "xa", "xb")
-        return written(pair.mapInArrow(_bound(self.rule), "a binary, b binary, share double"), "pairs")
-
-    def _larger(self, roots: DataFrame | None) -> DataFrame:
-        """Pairs of larger tiles' members in different components (or of any two classes) that the bounds allow."""
-        member = self.found.where("tile is not null").select("tile", F.col("a").alias("key"))
-        member = member.join(self.meta.where("cls is not null").select("key", "cls"), "key").select("tile", "cls").distinct()
-        member = member.join(roots.withColumnRenamed("u", "cls"), "cls", "left") if roots is not None else member.withColumn("root", F.col("cls"))
-        member = member.withColumn("root", F.coalesce("root", "cls"))
-        many = member.groupBy("tile").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("tile", F.ceil(F.col("many") / BLOCK).cast("int").alias("nb"))
-        member = written(member.join(many, "tile").join(self.classes.select("cls", "n", "bits"), "cls"), "members")
-        block = F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")
-        member = member.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        member = member.select("tile", "cls", "root", "n", "bits", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-        return member.groupBy("tile", "lo", "hi").applyInArrow(_blocks(self.rule), "a binary, b binary").distinct()
-
-    def _linked(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, similarity) of the pairs that link, exactly."""
-        need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        need = written(need.join(self.classes.select("cls", "key"), "cls"), "wanted")
-        text = self.src.select(F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("key"), "text")
-        few = need.count() <= BROADCAST_IDS
-        text = text.join(F.broadcast(need) if few else need, "key").select("cls", "text").mapInArrow(_own_texts(self.rule), "cls binary, text string")
-        text = written(text.groupBy("cls").agg(F.first("text").alias("text")), "texts", compression="zstd")
-        both = pairs.join(text.toDF("a", "ta"), "a").join(text.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-        return written(both.mapInArrow(_verify(self.rule), "a binary, b binary, similarity double"), "links")
-
-    def roots(self) -> DataFrame:
-        """(u, root) of every class that links with another."""
-        allowed = self._allowed()
-        tried = written(self._first_tries(allowed), "first")
-        links, roots = None, None
-        for step in ("first", "rest", "larger"):
-            if step != "first":
-                more = self._between(allowed.select("a", "b"), roots) if step == "rest" else self._larger(roots)
-                more = written(more.join(tried, ["a", "b"], "left_anti"), step)
-                if more.isEmpty():
-                    continue
-                tried_now, tried = more, tried.unionByName(more)
-            else:
-                tried_now = tried
-            got = self._linked(tried_now).select(F.col("a").alias("u"), F.col("b").alias("v"))
-            if step == "first" or not got.isEmpty():
-                links = got if links is None else links.unionByName(got)
-                roots = written(components(links), "roots")
-        return roots
-
-    def _first_tries(self, allowed: DataFrame) -> DataFrame:
-        """Each class with its smallest partner, and with the one that the bit counts favour (ties: the smallest)."""
-        small = allowed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        both = allowed.select(F.col("a").alias("x"), F.col("b").alias("y"), "share").unionByName(allowed.select(F.col("b").alias("x"), F.col("a").alias("y"), "share"))
-        best = both.groupBy("x").agg(F.max_by("y", F.struct("share", F.hash("y"), "y")).alias("y"))
-        return small.unionByName(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
-
-    def _between(self, pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """Pairs of different components."""
-        both = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
-        return both.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+        met = pairs.join(side("a"), "a").join(side("b"), "b").where(fit).select("a", "b", "na", "nb", "xa", "xb")
+        return met.mapInArrow(_bound(self.rule), "a bigint, b bigint, share double")
+
+    def _groups(self) -> tuple[DataFrame, DataFrame]:
+        """Candidate pairs (a, b, share), and (u, root) of classes joined by them: linked classes are in one group."""
+        pairs = self.found.where("tile is null").select("a", "b")
+        member = self.found.where("tile is not null").select("tile", F.col("a").alias("c64"))
+        large = not member.isEmpty()
+        if large:
+            weight = member.groupBy("c64").agg(F.count(F.lit(1)).alias("w"))
+            pivot = member.join(weight, "c64").groupBy("tile").agg(F.max(F.struct("w", "c64"))["c64"].alias("a"))
+            pairs = pairs.unionByName(member.join(pivot, "tile").where("c64 <> a").select("a", F.col("c64").alias("b")))
+        allowed = written(self._allowed(pairs), "pairs")
+        roots = components(allowed.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        if not large:
+            return allowed, written(roots, "groups")
+        more = written(self._larger(member, written(roots, "roots")), "larger")
+        if not more.isEmpty():
+            allowed = allowed.unionByName(more.select("a", "b", F.lit(0.0).alias("share")))
+            roots = components(allowed.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        return allowed, written(roots, "groups")
+
+    def _larger(self, member: DataFrame, roots: DataFrame) -> DataFrame:
+        """Candidate pairs that join groups in larger tiles which hold members of several."""
+        member = member.join(roots.withColumnRenamed("u", "c64"), "c64", "left").withColumn("root", F.coalesce("root", "c64"))
+        apart = member.groupBy("tile").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("tile", F.ceil(F.col("many") / self.block).cast("long").alias("nb"))
+        member = member.join(apart, "tile").withColumn("block", F.pmod(F.hash("c64"), F.col("nb")))
+        member = member.join(self.classes.select("c64", "n", "bits"), "c64")
+        return self._by_blocks(member.select("tile", "nb", "block", "c64", "root", "n", "bits"), "tile", _member_forest(self.rule), "a bigint, b bigint")
+
+    def _by_blocks(self, rows: DataFrame, key: str, run, schema: str) -> DataFrame:
+        """run over each key's pairs of blocks: rows with (key, lo, hi) side by side."""
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+        rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+        rows = rows.select(key, "lo", "hi", *[c for c in rows.columns if c not in (key, "lo", "hi", "nb", "other")])
+        dealt = rows.repartition(partitions(self.spark), key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
+        return dealt.mapInArrow(run, schema)
+
+    def _linked(self, every: bool) -> DataFrame:
+        """(a, b, similarity) of links between classes: all, or enough to join every component."""
+        allowed, roots = self._groups()
+        sizes = self.classes.select("cls", "c64", "row", "n").join(roots.toDF("c64", "grp"), "c64")
+        large = sizes.groupBy("grp").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("shingles")).where((F.col("many") > self.group) | (F.col("shingles") > GROUP_SHINGLES))
+        large = written(large.select("grp", F.greatest(F.ceil(F.col("many") / self.group), F.ceil(F.col("shingles") / GROUP_SHINGLES)).cast("long").alias("nb")), "large")
+        need = written(sizes.join(large, "grp", "left").select("cls", "c64", "row", "grp", F.coalesce("nb", F.lit(1).cast("long")).alias("nb")), "wanted")
+        text = self.src.select("row", "text").join(need.select("row", "cls"), "row").select("cls", "text")
+        array = text.mapInArrow(_arrays(self.rule), "cls binary, shingles binary")
+        array = written(need.join(array, "cls"), "arrays")
+        whole = array.where("nb = 1").select("grp", F.lit(0).cast("long").alias("block"), "nb", F.col("cls").alias("root"), "cls", "shingles")
+        links = self._by_blocks(whole, "grp", _links(self.rule, every), _LINKS)
+        if large.isEmpty():
+            return links
+        return written(links, "links").unionByName(self._large_links(allowed, array.where("nb > 1").dropDuplicates(["cls"]), every))
+
+    def _large_links(self, allowed: DataFrame, array: DataFrame, every: bool) -> DataFrame:
+        """The links of groups too large for a task."""
+        block = F.pmod(F.hash("cls"), F.col("nb"))
+        rows = array.select("grp", block.cast("long").alias("block"), "nb", F.col("cls").alias("root"), "cls", "shingles")
+        if every:
+            return self._by_blocks(rows, "grp", _links(self.rule, True), _LINKS)
+        # First each class with the partner that has the most partners, and with that which the bits favour.
+        both = allowed.unionByName(allowed.select(F.col("b").alias("a"), F.col("a").alias("b"), "share")).join(array.select(F.col("c64").alias("a")), "a", "left_semi")
+        degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("w"))
+        both = both.join(degree.toDF("b", "w"), "b")
+        tries = both.groupBy("a").agg(F.max(F.struct("w", "b"))["b"].alias("x"), F.max(F.struct("share", "b"))["b"].alias("y"))
+        tries = tries.select("a", F.explode(F.array_distinct(F.array("x", "y"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        side = lambda x: array.select(F.col("c64").alias(x), F.col("cls").alias(f"c{x}"), F.col("shingles").alias(f"s{x}"))
+        tried = tries.join(side("a"), "a").join(side("b"), "b").select("ca", "cb", "sa", "sb")
+        first = written(tried.mapInArrow(_verify(self.rule), _LINKS), "tried")
+        roots = written(components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
+        rows = rows.drop("root").join(roots.toDF("cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        rows = written(rows, "members")
+        # What a group's largest component holds is compared with the rest alone, and not with itself.
+        parts = rows.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("many"))
+        parts = parts.groupBy("grp").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("many", "root"))["root"].alias("main")).where("parts > 1")
+        rows = rows.join(parts, "grp").withColumn("inside", F.col("root") == F.col("main"))
+        rest = rows.where("not inside").groupBy("grp").agg(F.count(F.lit(1)).alias("many"), F.sum(F.length("shingles") / 8).alias("shingles"))
+        rest = rest.select("grp", F.greatest(F.ceil(F.col("many") / self.group), F.ceil(F.col("shingles") / GROUP_SHINGLES)).cast("long").alias("nr"))
+        rows = rows.join(rest, "grp")
+        n = F.col("nr")
+        # Blocks 0 to nr - 1 are the rest's; the main component's come after them.
+        block = F.when(F.col("inside"), n + F.pmod(F.hash("cls"), F.col("nb"))).otherwise(F.pmod(F.hash("cls"), n)).cast("long")
+        last = n + F.col("nb") - 1
+        other = F.explode(F.when(F.col("inside"), F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.sequence(F.lit(0).cast("long"), last)))
+        rows = rows.withColumns({"block": block, "other": other}).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+        rows = rows.select("grp", "lo", "hi", "block", "root", "cls", "shingles")
+        dealt = rows.repartition(partitions(self.spark), "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
+        return first.unionByName(written(dealt.mapInArrow(_links(self.rule, False), _LINKS), "apart"))
+
+    def components(self) -> DataFrame:
+        """(cls, component_id) of every class: the smallest id that its links reach."""
+        links = written(self._linked(False), "links")
+        roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("u", "cls")
+        own = written(self.classes.select("cls", "rep", "row").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "components")
+        # The row that stands for a component: that of the smallest id, and of its rows that of the smallest hash.
+        first = F.min(F.struct(F.col("rep").isNull(), "rep", "row"))
+        return own.join(own.groupBy("root").agg(F.min("rep").alias("component_id"), first["row"].alias("stays")), "root").select("cls", "component_id", "stays")
 
     def members(self) -> DataFrame:
-        """One row per row of docs: doc_id, n_shingles, component_id."""
-        roots = self.roots().withColumnRenamed("u", "cls")
-        own = self.classes.select("cls", "rep").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        low = own.groupBy("root").agg(F.min("rep").alias("component_id"))
-        own = own.join(low, "root").select("cls", "component_id")
-        out = self.meta.select("doc_id", "n", "cls").join(own, "cls", "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        """One row per row of docs: row, doc_id, n_shingles, component_id, and the row that stands for the component."""
+        out = self.meta.select("row", "doc_id", "n", "cls").join(self.components(), "cls", "left")
+        alone = F.col("n") == 0
+        return out.select("row", "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("row")).otherwise(F.col("stays")).alias("stays"))
 
     def links(self) -> DataFrame:
         """Every link between classes, named by their smallest ids: a, b, similarity."""
-        pairs = written(self._allowed().select("a", "b").unionByName(self._larger(None)).distinct(), "every")
         rep = self.classes.select("cls", "rep")
-        out = self._linked(pairs).join(rep.toDF("a", "ra"), "a").join(rep.toDF("b", "rb"), "b")
+        out = self._linked(True).join(rep.toDF("a", "ra"), "a").join(rep.toDF("b", "rb"), "b")
         return out.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "similarity")
 
 
+def row_hash(doc_id, text):
+    """What tells rows apart by what they hold; equal rows agree."""
+    return F.xxhash64(doc_id.cast("long"), text.cast("string"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, **names) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
-    return Join(docs, Rule(n, num, den), **names).members()
+    return Join(docs, Rule(n, num, den), **names).members().select("doc_id", "n_shingles", "component_id")
 
 
 def similar_pairs(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, **names) -> DataFrame:
@@ -463,8 +562,19 @@ def similar_pairs(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, **
     return Join(docs, Rule(n, num, den), **names).links()
 
 
-def drop_near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", **names) -> DataFrame:
-    """docs with all their columns: of each component, the document with the smallest id."""
-    out = near_duplicates(docs, n, num, den, id_col=id_col, **names)
-    gone = out.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+def drop_near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
+    """docs with all their columns: of each component, one row, that with the smallest id (and of its texts the one of the smallest hash).
+
+    Rows without words stay. Rows that go are named by their own hash and id, so a row that shares its id with them stays.
+    """
+    join = Join(docs, Rule(n, num, den), id_col=id_col, text_col=text_col, **names)
+    out = join.members()
+    same = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    judged = out.where("n_shingles > 0").groupBy("row", same.alias("id")).agg(F.count(F.lit(1)).alias("copies"), F.first(F.col("row") == F.col("stays")).alias("kept"))
+    judged = written(judged.where("not kept or copies > 1"), "judged")
+    key = {"__row": row_hash(F.col(id_col), F.col(text_col)), "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))}
+    rows = docs.withColumns(key)
+    named = judged.select(F.col("row").alias("__row"), F.col("id").alias("__id"), "kept")
+    rest = rows.join(named.drop("kept"), ["__row", "__id"], "left_anti")
+    twice = rows.join(named.where("kept").drop("kept"), ["__row", "__id"], "left_semi").dropDuplicates(["__row", "__id"])
+    return rest.unionByName(twice).drop("__row", "__id")

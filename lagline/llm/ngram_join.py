@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from ._arrow import SPACE, by_bucket, by_group, deltas, hashed_words, id_array, ids, mix, pack, roll, runs, spread, splitmix, text_buffer, undeltas, unpack, windows_of
 from ._store import bucket_count, bucket_keys, partitions, ship, written
-from .components import components
+from .components import components, unite
 
 #: Signatures that a map task holds at a time.
 SEGMENT = 3_000_000
@@ -59,6 +59,8 @@ SMALL_TILE = 16
 BLOCK = 4096
 #: Members, and shingles, of a group (or of a block of a larger group), which has their arrays.
 GROUP, GROUP_SHINGLES = 512, 4_000_000
+#: Bits of the bitmap that picks texts: at most SIEVE / 64 rows of 16 bytes are broadcast.
+SIEVE = 1 << 25
 #: Rows that a task gathers before it hands them on.
 ROWS = 10_000
 
@@ -340,27 +342,35 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
     return len(np.intersect1d(x, y, assume_unique=True))
 
 
+def _group_links(rule: Rule, table: pa.Table, one: bool, every: bool) -> tuple[list, list]:
+    """The classes of a group (one), or of a pair of a group's blocks, and their links (i, j, similarity), verified: all, or a forest of those between components."""
+    cls, at = np.unique(np.array(table.column("cls").to_pylist(), dtype=object), return_index=True)
+    table = table.take(pa.array(at))  # a repeated row gives its class again
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+    n = np.array([len(x) for x in sets], np.int64)
+    block, label = table.column("block").to_numpy(), np.unique(np.array(table.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
+    out = []
+    for i, others, over in _near(rule, n, [bitmap(x) for x in sets]):
+        keep = (block[others] != block[i]) | one
+        for j in others[keep][np.argsort(-over[keep], kind="stable")].tolist():
+            if not every and label[j] == label[i]:
+                continue
+            both = _overlap(sets[i], sets[j])
+            size = int(n[i] + n[j]) - both
+            if rule.den * both >= rule.num * size:
+                out.append((i, j, both / size))
+                label[label == label[j]] = label[i]
+    return cls.tolist(), out
+
+
 def _links(rule: Rule, every: bool):
-    """Of each group (or pair of a group's blocks): its links, verified; all of them, or a forest of those between components."""
+    """Of each group (or pair of a group's blocks): its links."""
 
     def run(batches):
         out = []
         for (_, lo, hi), table in by_group(batches, 3):
-            cls, at = np.unique(np.array(table.column("cls").to_pylist(), dtype=object), return_index=True)
-            table = table.take(pa.array(at))  # a repeated row gives its class again
-            sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-            n = np.array([len(x) for x in sets], np.int64)
-            block, label = table.column("block").to_numpy(), np.unique(np.array(table.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
-            for i, others, over in _near(rule, n, [bitmap(x) for x in sets]):
-                keep = (block[others] != block[i]) | (lo == hi)
-                for j in others[keep][np.argsort(-over[keep], kind="stable")]:
-                    if not every and label[j] == label[i]:
-                        continue
-                    both = _overlap(sets[i], sets[j])
-                    size = n[i] + n[j] - both
-                    if rule.den * both >= rule.num * size:
-                        out.append((cls[i], cls[j], both / size))
-                        label[label == label[j]] = label[i]
+            cls, links = _group_links(rule, table, lo == hi, every)
+            out += [(cls[i], cls[j], x) for i, j, x in links]
             if len(out) >= ROWS:
                 yield _cls_pairs(out)
                 out = []
@@ -370,6 +380,27 @@ def _links(rule: Rule, every: bool):
     return run
 
 
+def _stars(rule: Rule):
+    """Of each whole group: its classes that link, and the smallest one that each reaches."""
+
+    def run(batches):
+        out = []
+        for _, table in by_group(batches, 3):
+            cls, links = _group_links(rule, table, True, False)
+            out += unite((cls[i], cls[j]) for i, j, _ in links).items()
+            if len(out) >= ROWS:
+                yield _star_rows(out)
+                out = []
+        if out:
+            yield _star_rows(out)
+
+    return run
+
+
+def _star_rows(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], names=["u", "root"])
+
+
 def _cls_pairs(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.float64())], names=["a", "b", "similarity"])
 
@@ -377,6 +408,9 @@ def _cls_pairs(rows) -> pa.RecordBatch:
 _LINKS = "a binary, b binary, similarity double"
 
 
+_ARRAYS = "cls binary, c64 bigint, grp bigint, nb bigint, shingles binary"
+
+
 def _arrays(rule: Rule):
     """The sorted shingles of the wanted classes' texts; of a task's equal ones, the first."""
 
@@ -384,7 +418,7 @@ def _arrays(rule: Rule):
         seen = set()
         for batch in batches:
             cls = batch.column(0).to_pylist()
-            buf, offs = text_buffer(batch.column(1))
+            buf, offs = text_buffer(batch.column(4))
             keep, sets = [], []
             for a, g, first in shingle_sets(buf, offs, rule.n):
                 for i, d in enumerate(digests(g, first)):
@@ -392,7 +426,8 @@ def _arrays(rule: Rule):
                         seen.add(cls[a + i])
                         keep.append(a + i)
                         sets.append(g[first[i] : first[i + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([cls[i] for i in keep], pa.binary()), pa.array(sets, pa.binary())], names=["cls", "shingles"])
+            own = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns[:4], pa.array(sets, pa.binary())], names=["cls", "c64", "grp", "nb", "shingles"])
 
     return run
 
@@ -474,21 +509,32 @@ class Join:
         dealt = rows.repartition(partitions(self.spark), key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
         return dealt.mapInArrow(run, schema)
 
-    def _linked(self, every: bool) -> DataFrame:
-        """(a, b, similarity) of links between classes: all, or enough to join every component."""
+    def _texts(self, need: DataFrame) -> DataFrame:
+        """The texts of the rows in need (row, ...), with its columns.
+
+        A bitmap of the wanted rows' hashes, of a fixed number of bits, is broadcast first: so of a few
+        rows' texts only those, and some that share a bit with them, are shuffled to meet need.
+        """
+        bit = f"row & {SIEVE - 1}"
+        words = need.groupBy(F.expr(f"shiftright({bit}, 6)").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({bit} & 63 as int))")).alias("set"))
+        text = self.src.select("row", "text", F.expr(f"shiftright({bit}, 6)").alias("word")).join(F.broadcast(words), "word")
+        text = text.where(F.expr(f"(set & shiftleft(1L, cast({bit} & 63 as int))) <> 0"))
+        return text.select("row", "text").join(need, "row")
+
+    def _arrayed(self) -> tuple[DataFrame, DataFrame, bool]:
+        """Candidate pairs; the arrays of the classes in groups, with nb, the blocks of the group; whether one has several."""
         allowed, roots = self._groups()
         sizes = self.classes.select("cls", "c64", "row", "n").join(roots.toDF("c64", "grp"), "c64")
         large = sizes.groupBy("grp").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("shingles")).where((F.col("many") > self.group) | (F.col("shingles") > GROUP_SHINGLES))
         large = written(large.select("grp", F.greatest(F.ceil(F.col("many") / self.group), F.ceil(F.col("shingles") / GROUP_SHINGLES)).cast("long").alias("nb")), "large")
         need = written(sizes.join(large, "grp", "left").select("cls", "c64", "row", "grp", F.coalesce("nb", F.lit(1).cast("long")).alias("nb")), "wanted")
-        text = self.src.select("row", "text").join(need.select("row", "cls"), "row").select("cls", "text")
-        array = text.mapInArrow(_arrays(self.rule), "cls binary, shingles binary")
-        array = written(need.join(array, "cls"), "arrays")
-        whole = array.where("nb = 1").select("grp", F.lit(0).cast("long").alias("block"), "nb", F.col("cls").alias("root"), "cls", "shingles")
-        links = self._by_blocks(whole, "grp", _links(self.rule, every), _LINKS)
-        if large.isEmpty():
-            return links
-        return written(links, "links").unionByName(self._large_links(allowed, array.where("nb > 1").dropDuplicates(["cls"]), every))
+        array = self._texts(need).select("cls", "c64", "grp", "nb", "text").mapInArrow(_arrays(self.rule), _ARRAYS)
+        return allowed, written(array, "arrays"), not large.isEmpty()
+
+    def _whole(self, array: DataFrame, run, schema: str) -> DataFrame:
+        """run over each group that one task holds."""
+        rows = array.where("nb = 1").select("grp", F.lit(0).cast("long").alias("block"), "nb", F.col("cls").alias("root"), "cls", "shingles")
+        return self._by_blocks(rows, "grp", run, schema)
 
     def _large_links(self, allowed: DataFrame, array: DataFrame, every: bool) -> DataFrame:
         """The links of groups too large for a task."""
@@ -525,10 +571,18 @@ class Join:
         dealt = rows.repartition(partitions(self.spark), "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
         return first.unionByName(written(dealt.mapInArrow(_links(self.rule, False), _LINKS), "apart"))
 
+    def _roots(self) -> DataFrame:
+        """(cls, root) of every class that links with another."""
+        allowed, array, large = self._arrayed()
+        roots = self._whole(array, _stars(self.rule), "u binary, root binary")
+        if large:
+            links = self._large_links(allowed, array.where("nb > 1").dropDuplicates(["cls"]), False)
+            roots = roots.unionByName(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        return roots.withColumnRenamed("u", "cls")
+
     def components(self) -> DataFrame:
-        """(cls, component_id) of every class: the smallest id that its links reach."""
-        links = written(self._linked(False), "links")
-        roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("u", "cls")
+        """(cls, component_id, stays) of every class: the smallest id that its links reach, and the row that stands for the component."""
+        roots = self._roots()
         own = written(self.classes.select("cls", "rep", "row").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "components")
         # The row that stands for a component: that of the smallest id, and of its rows that of the smallest hash.
         first = F.min(F.struct(F.col("rep").isNull(), "rep", "row"))
@@ -543,7 +597,11 @@ class Join:
     def links(self) -> DataFrame:
         """Every link between classes, named by their smallest ids: a, b, similarity."""
         rep = self.classes.select("cls", "rep")
-        out = self._linked(True).join(rep.toDF("a", "ra"), "a").join(rep.toDF("b", "rb"), "b")
+        allowed, array, large = self._arrayed()
+        links = self._whole(array, _links(self.rule, True), _LINKS)
+        if large:
+            links = links.unionByName(self._large_links(allowed, array.where("nb > 1").dropDuplicates(["cls"]), True))
+        out = links.join(rep.toDF("a", "ra"), "a").join(rep.toDF("b", "rb"), "b")
         return out.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "similarity")
 
 

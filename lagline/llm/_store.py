@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -57,6 +58,37 @@ def bucket_count(df: DataFrame, mb: int = 32) -> int:
     return n if size > 1 << 60 else max(n, min(-(-size // (mb << 20)), 1 << 16))  # no estimate: the largest number
 
 
+#: Bits of a sieve's bitmap: at most SIEVE / 64 rows of 16 bytes are broadcast, whatever the tables hold.
+SIEVE = 1 << 25
+
+
+def sieved(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """rows with __maybe: false only where the hash in key isn't one of wanted's.
+
+    A bitmap of the wanted hashes is broadcast, so that a join or anti-join with few wanted rows needs
+    to shuffle those rows, and few others, alone. The more are wanted, the less it saves; it never loses one.
+    """
+    word, bit = f"shiftright(`{key}` & {SIEVE - 1}, 6)", f"shiftleft(1L, cast(`{key}` & 63 as int))"
+    words = wanted.groupBy(F.expr(word).alias("__word")).agg(F.bit_or(F.expr(bit)).alias("__set"))
+    out = rows.withColumn("__word", F.expr(word)).join(F.broadcast(words), "__word", "left")
+    return out.withColumn("__maybe", F.expr(f"coalesce(__set & {bit}, 0L) <> 0")).drop("__word", "__set")
+
+
+def without(rows: DataFrame, key: str, judged: DataFrame, on: list[str]) -> DataFrame:
+    """rows without those that judged (the columns of on, key, and kept) names: all of them, or, where kept, all but one of each.
+
+    key is a hash of on; only rows that it may name are shuffled. The columns of on and key go.
+    """
+    judged = judged.select(*on, key, "kept")
+    met = sieved(rows, key, judged)
+    some = met.where("__maybe").drop("__maybe")
+    rest = met.where("not __maybe").drop("__maybe")
+    named = judged.select(*on, "kept")
+    rest = rest.unionByName(some.join(named.drop("kept"), on, "left_anti"))
+    twice = some.join(named.where("kept").drop("kept"), on, "left_semi").dropDuplicates(on)
+    return rest.unionByName(twice).drop(*on, key)
+
+
 def _murmur(k: int) -> int:
     """Spark's hash of an int: Murmur3 with seed 42."""
     m = 0xFFFFFFFF

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._store import without, written
+
 
 def digest(text: Column) -> Column:
     return F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256)
@@ -49,9 +51,12 @@ def mark(docs: DataFrame, support: float = 0.001, id_col: str = "doc_id", text_c
 def drop(docs: DataFrame, support: float = 0.001, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with all their columns, one row of each text.
 
-    The decisions are made on digests; whole rows are shuffled only to meet theirs.
+    The decisions are made on digests. A bitmap of the rows that go (of a bounded size) is
+    broadcast, and only rows that it may name are shuffled.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    kept = mark(docs, support, id_col, text_col).where("kept").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"))
-    rows = docs.withColumns({"__keep_id": key, "__keep_sha": digest(F.col(text_col))}).join(kept, ["__keep_id", "__keep_sha"], "left_semi")
-    return rows.dropDuplicates(["__keep_id", "__keep_sha"]).select(*docs.columns)
+    marks = mark(docs, support, id_col, text_col).groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("text_sha256").alias("__sha"))
+    judged = marks.agg(F.count(F.lit(1)).alias("copies"), F.bool_or("kept").alias("kept")).where("not kept or copies > 1")
+    judged = written(judged.withColumn("__key", F.xxhash64("__id", "__sha")), "judged")
+    rows = docs.withColumns({"__id": key, "__sha": digest(F.col(text_col))}).withColumn("__key", F.xxhash64("__id", "__sha"))
+    return without(rows, "__key", judged, ["__id", "__sha"]).select(*docs.columns)

@@ -9,10 +9,10 @@ Training counts every word of every training text by language, map-side first. T
 probabilities come from these counts by expectation maximisation: expected piece counts
 by forward-backward under the model so far, one count added to each piece. The
 vocabulary is a parameter's file, read by the driver and broadcast; its size, and
-the languages' number, bound the model. Words of more than `most_word` code points are cut
+the languages' number (an error beyond `most_languages`), bound the model. Words of more than `most_word` code points are cut
 into stretches of that length, in training and in scoring; no word is left out.
 
-Words are maximal runs of letters, lower-cased. Letters that no piece covers are
+Words are maximal runs of letters (Unicode categories L), lower-cased. Letters that no piece covers are
 pieces of their own, one probability for all of them.
 
 Defined results: null text, or text without a letter, is 'und' with score 0. Without any
@@ -24,8 +24,10 @@ through (filter).
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -36,7 +38,13 @@ from pyspark.sql import functions as F
 from ._arrow import mix, runs
 from ._store import ship, written
 
-LETTERS = re.compile(r"[^\W\d_]+")
+def _letters() -> re.Pattern:
+    """Runs of letters: what isn't in \\W or \\d still holds numbers such as a half or a circled one, which go."""
+    more = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
+    return re.compile(rf"[^\W\d_{''.join(more)}]+")
+
+
+LETTERS = _letters()
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Word types that a task remembers.
 REMEMBERED = 150_000
@@ -44,13 +52,15 @@ REMEMBERED = 150_000
 STEP, ROWS = 4_000, 200
 
 
-def read_vocabulary(path: str, most_piece: int = 12) -> list[str]:
+def read_vocabulary(path: str) -> list[str]:
     """The vocabulary's pieces made of letters only, lower-cased: sorted, distinct."""
     import sentencepiece
 
+    if not Path(path).is_file():
+        raise FileNotFoundError(f"no vocabulary at {path}: give the path of a SentencePiece model, which the driver reads")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (sp.id_to_piece(i).replace("▁", "").lower() for i in range(sp.get_piece_size()))
-    return sorted({p for p in pieces if len(p) <= most_piece and LETTERS.fullmatch(p)})
+    return sorted({p for p in pieces if LETTERS.fullmatch(p)})
 
 
 def word_counts(text: str | None, most_word: int) -> dict[str, int]:
@@ -65,6 +75,8 @@ def word_counts(text: str | None, most_word: int) -> dict[str, int]:
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: What each letter's place is scaled by, so that products over a word of up to 40 letters stay within a double.
+SCALE = 1e6
 
 
 def _keys(chars: np.ndarray, size: int, before: np.ndarray | None) -> np.ndarray:
@@ -128,15 +140,19 @@ class Model:
         alpha[first[:-1]] = 1.0
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             # Edges from one distance into the words: no two of them end at the same place.
-            alpha[to[a:b]] += alpha[source[a:b]] * self.prob[row[a:b]]
-        return np.log(np.maximum(alpha[first[1:] - 1], 1e-300))
+            alpha[to[a:b]] += alpha[source[a:b]] * (self.prob[row[a:b]] * _scale(to[a:b] - source[a:b])[:, None])
+        return np.log(np.maximum(alpha[first[1:] - 1], 1e-300)) - (np.diff(first) - 1)[:, None] * np.log(SCALE)
+
+
+def _scale(size: np.ndarray) -> np.ndarray:
+    return SCALE ** size.astype(np.float64)
 
 
 def expected(model: Model, many: list[str], lang: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Expected piece counts of (word, language, count) rows, by forward-backward."""
     source, to, row, cuts, first = model.lattice(many)
     of = np.searchsorted(first, source, "right") - 1
-    p = model.prob[row, lang[of]]
+    p = model.prob[row, lang[of]] * _scale(to - source)  # the scales cancel out below
     alpha, beta = np.zeros(first[-1]), np.zeros(first[-1])
     alpha[first[:-1]] = 1.0
     beta[first[1:] - 1] = 1.0
@@ -189,16 +205,20 @@ def _expect(model):
     return run
 
 
-def train(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 2, most_word: int = 32, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from every row of docs with a language; rows without one are left out."""
+def train(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 2, most_word: int = 32, most_languages: int = 1_000, pieces: list[str] | None = None, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """A model from every row of docs with a language; rows without one are left out. pieces, if given, are the vocabulary."""
+    if not 1 <= most_word <= 40:
+        raise ValueError("most_word must be from 1 to 40")
     spark: SparkSession = docs.sparkSession
     ship(spark)
-    pieces = read_vocabulary(vocabulary)
+    pieces = read_vocabulary(vocabulary) if pieces is None else sorted(set(pieces))
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null")
     # The counts of word types: combined in each task, then by one shuffle; texts are not shuffled.
     counts = rows.mapInArrow(_count_words(most_word), "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = written(counts, "words")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages: raise most_languages, which bounds the model")
     langs = sorted(sizes)
     n_docs = np.array([sizes[x] for x in langs], float)
     shape = (len(pieces) + 1, len(langs))

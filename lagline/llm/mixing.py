@@ -10,14 +10,14 @@ goes on. So a source's words stay at the target, but for one document.
 The pairs form a reduction tree. Documents are dealt by their ids, and not by how the
 input lies, into leaves of about `leaf` documents; a leaf hands on the one document left
 over, and each level joins up to `leaf` leftovers of the level below, until a source
-has one, which a last draw rounds. Every draw hashes the ids of those
-who meet, so reruns agree under any partitioning. Larger documents meet first, so
-that the one left over is small.
+has one, which a last draw rounds. Every draw hashes those
+who meet (their ids and texts), so reruns agree under any partitioning, and rows without an id spread like
+others. Larger documents meet first, so that the one left over is small.
 
 Defined results: null text has size 0, takes nothing. A null source is a source, the
 last. A source without words has target 0. Rows that repeat an id are documents of
-their own, told apart by size and by count. Columns other than those named are ignored (plan)
-or carried through (apply).
+their own, told apart by their texts; equal rows by count. Columns other than those named are ignored (plan)
+or carried through (apply), where a column `copies` of the input makes the added one `copies_`.
 """
 
 from __future__ import annotations
@@ -33,9 +33,14 @@ from ._store import ship, written
 SIZE = r"[^\x20\x09-\x0D]+"
 
 
+def row_hash(id_col: str, text_col: str):
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size; the text stays behind."""
+    """row (a hash of id and text), doc_id, source, size; the text stays behind."""
     return docs.select(
+        row_hash(id_col, text_col).alias("row"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(SIZE)), F.lit(0)).cast("long").alias("size"),
@@ -94,15 +99,14 @@ def pivotal(doc: np.ndarray, size: np.ndarray, p: np.ndarray, seed: int) -> tupl
     return p, hold
 
 
-_COLUMNS = "doc_id bigint, source string, size bigint, source_size bigint, target double, whole bigint, p double, leaves bigint, node bigint, open boolean"
+_COLUMNS = "row bigint, doc_id bigint, source string, size bigint, source_size bigint, target double, whole bigint, p double, leaves bigint, node bigint, open boolean"
 _NAMES = [c.split()[0] for c in _COLUMNS.split(", ")]
 
 
 def _level(seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="first").reset_index(drop=True)
-        doc = pdf["doc_id"].fillna(-1).to_numpy().astype(np.int64)
-        pdf["p"], hold = pivotal(doc, pdf["size"].to_numpy(np.float64), pdf["p"].to_numpy(), seed)
+        pdf = pdf.sort_values(["size", "row"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        pdf["p"], hold = pivotal(pdf["row"].to_numpy(np.int64), pdf["size"].to_numpy(np.float64), pdf["p"].to_numpy(), seed)
         pdf["open"] = False
         if hold >= 0:
             pdf.loc[hold, "open"] = True
@@ -112,7 +116,7 @@ def _level(seed: int):
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, leaf: int = 2_000, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, copies, taken."""
+    """One row per row of docs: row (a hash of id and text), doc_id, source, size, source_size, target, copies, taken."""
     spark = docs.sparkSession
     ship(spark)
     rows = written(sizes(docs, id_col, text_col, source_col), "sizes")
@@ -124,7 +128,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, l
     whole = F.when(F.abs(x - F.round(x)) < 1e-12, F.round(x)).otherwise(F.floor(x)).cast("long")
     part = F.when(F.col("size") == 0, F.lit(0.0)).otherwise(F.greatest(x - whole, F.lit(0.0)))
     met = met.withColumns({"whole": whole, "p": part, "leaves": F.ceil(F.col("docs") / leaf).cast("long")})
-    todo = met.withColumn("node", F.pmod(F.xxhash64("doc_id"), "leaves")).drop("docs")
+    todo = met.withColumn("node", F.pmod(F.xxhash64("row"), "leaves")).drop("docs")
     done, level, leaves = None, 0, -(-largest // leaf)
     while True:
         out = written(todo.groupBy("source", "node").applyInPandas(_level(seed + 1000 * level), _COLUMNS), f"level{level}")
@@ -134,26 +138,33 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, l
             break
         level, leaves = level + 1, -(-leaves // leaf)
         todo = left.drop("open").withColumn("leaves", F.ceil(F.col("leaves") / leaf).cast("long")).withColumn("node", F.pmod("node", "leaves"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     done = done.unionByName(left.withColumn("p", (draw < F.col("p")).cast("double")))
     copies = F.col("whole") + F.col("p").cast("long")
-    return done.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return done.select("row", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """docs with all their columns and `copies`: the rows that the mix takes at least once.
 
-    Rows that repeat an id, source and size are matched to their decisions in the order of their texts' hashes.
+    Decisions, a few bytes a row, meet their rows by id and a hash of the text; equal rows take theirs in turn.
     """
     made = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    keys = ["__id", "__source", "__size"]
-    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(SIZE)), F.lit(0)).cast("long")
+    keys = ["__row", "__id", "__source"]
     safe_id = lambda c: F.coalesce(c.cast("long"), F.lit(-(1 << 63)))
     safe_source = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
-    nth = lambda *by: F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
-    left = docs.withColumns({"__id": safe_id(F.col(id_col)), "__source": safe_source(F.col(source_col)), "__size": size})
-    left = left.withColumn("__nth", nth(F.xxhash64(text_col)))
-    right = made.select(safe_id(F.col("doc_id")).alias("__id"), safe_source(F.col("source")).alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    right = right.withColumn("__nth", nth(F.desc("__copies"))).where("__copies > 0")
-    out = left.join(right, [*keys, "__nth"])
-    return out.select(*[F.col(c) for c in docs.columns], F.col("__copies").alias("copies"))
+    right = made.groupBy(F.col("row").alias("__row"), safe_id(F.col("doc_id")).alias("__id"), safe_source(F.col("source")).alias("__source")).agg(F.count(F.lit(1)).alias("__many"), F.sum("copies").alias("__total")).where("__total > 0")
+    right = written(right, "taken")
+    left = docs.withColumns({"__row": row_hash(id_col, text_col), "__id": safe_id(F.col(id_col)), "__source": safe_source(F.col(source_col))})
+    met = left.join(right, keys)
+    name = "copies"
+    while name in docs.columns:
+        name += "_"
+    out = [F.col(f"`{c}`") for c in docs.columns]
+    once = met.where("__many = 1").select(*out, F.col("__total").cast("long").alias(name))
+    # Of equal rows, which are all of one size, the first ones take one copy more if the total isn't a multiple.
+    rest = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map" not in kind])
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(rest))
+    each = F.floor(F.col("__total") / F.col("__many")) + F.when(F.col("__nth") <= F.col("__total") % F.col("__many"), 1).otherwise(0)
+    several = met.where("__many > 1").withColumn("__nth", nth).withColumn("__c", each.cast("long")).where("__c > 0")
+    return once.unionByName(several.select(*out, F.col("__c").alias(name)))

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrow import SPACE, by_bucket, by_group, deltas, hashed_words, id_array, ids, mix, pack, roll, runs, spread, splitmix, text_buffer, undeltas, unpack, windows_of
-from ._store import bucket_count, bucket_keys, partitions, ship, written
+from ._store import bucket_count, bucket_keys, partitions, ship, sieved, without, written
 from .components import components, unite
 
 #: Signatures that a map task holds at a time.
@@ -59,8 +59,6 @@ SMALL_TILE = 16
 BLOCK = 4096
 #: Members, and shingles, of a group (or of a block of a larger group), which has their arrays.
 GROUP, GROUP_SHINGLES = 512, 4_000_000
-#: Bits of the bitmap that picks texts: at most SIEVE / 64 rows of 16 bytes are broadcast.
-SIEVE = 1 << 25
 #: Rows that a task gathers before it hands them on.
 ROWS = 10_000
 
@@ -512,14 +510,9 @@ class Join:
     def _texts(self, need: DataFrame) -> DataFrame:
         """The texts of the rows in need (row, ...), with its columns.
 
-        A bitmap of the wanted rows' hashes, of a fixed number of bits, is broadcast first: so of a few
-        rows' texts only those, and some that share a bit with them, are shuffled to meet need.
+        A sieve of the wanted rows goes first: of a few rows' texts only those are shuffled to meet need.
         """
-        bit = f"row & {SIEVE - 1}"
-        words = need.groupBy(F.expr(f"shiftright({bit}, 6)").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({bit} & 63 as int))")).alias("set"))
-        text = self.src.select("row", "text", F.expr(f"shiftright({bit}, 6)").alias("word")).join(F.broadcast(words), "word")
-        text = text.where(F.expr(f"(set & shiftleft(1L, cast({bit} & 63 as int))) <> 0"))
-        return text.select("row", "text").join(need, "row")
+        return sieved(self.src.select("row", "text"), "row", need).where("__maybe").select("row", "text").join(need, "row")
 
     def _arrayed(self) -> tuple[DataFrame, DataFrame, bool]:
         """Candidate pairs; the arrays of the classes in groups, with nb, the blocks of the group; whether one has several."""
@@ -628,11 +621,8 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     join = Join(docs, Rule(n, num, den), id_col=id_col, text_col=text_col, **names)
     out = join.members()
     same = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    judged = out.where("n_shingles > 0").groupBy("row", same.alias("id")).agg(F.count(F.lit(1)).alias("copies"), F.first(F.col("row") == F.col("stays")).alias("kept"))
-    judged = written(judged.where("not kept or copies > 1"), "judged")
-    key = {"__row": row_hash(F.col(id_col), F.col(text_col)), "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))}
-    rows = docs.withColumns(key)
-    named = judged.select(F.col("row").alias("__row"), F.col("id").alias("__id"), "kept")
-    rest = rows.join(named.drop("kept"), ["__row", "__id"], "left_anti")
-    twice = rows.join(named.where("kept").drop("kept"), ["__row", "__id"], "left_semi").dropDuplicates(["__row", "__id"])
-    return rest.unionByName(twice).drop("__row", "__id")
+    judged = out.where("n_shingles > 0").groupBy(F.col("row").alias("__row"), same.alias("__id")).agg(F.count(F.lit(1)).alias("copies"), F.first(F.col("row") == F.col("stays")).alias("kept"))
+    judged = written(judged.where("not kept or copies > 1").withColumn("__key", F.col("__row")), "judged")
+    row = row_hash(F.col(id_col), F.col(text_col))
+    rows = docs.withColumns({"__row": row, "__key": row, "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))})
+    return without(rows, "__key", judged, ["__row", "__id"]).select(*docs.columns)

@@ -4,7 +4,9 @@ Two generative models over hashed word n-grams (orders 1 and 2, `buckets` counts
 one of the target, texts labelled good, and one of the raw corpus, all its texts. A
 document's log importance weight is the log ratio of its probability under the two.
 Documents are drawn without replacement in proportion to their weights by Gumbel
-top-k: add standard Gumbel noise, drawn from the id, to the log weight, and take the k largest.
+top-k: add standard Gumbel noise, drawn from the id and a hash of the row, to the log weight, and take the k largest.
+The weights of whole texts span thousands of nats, so at `temperature` 1 noise hardly matters: a higher one (the log
+weight is divided by it) draws more evenly, and `by_length` weighs by the mean log ratio of an n-gram instead of the sum.
 
 The raw model counts every document. The target model is fitted on at most
 `most_labelled` labelled documents (those of the smallest id hashes), whose ids are broadcast. Both
@@ -15,8 +17,8 @@ interval of the k-th key; only that interval is ranked.
 
 Defined results: null text counts as empty; a text without words has weight 0. k counts
 all rows (`share` of them, rounded up). Ties in the key go to the smaller id. Repeated
-rows are documents of their own. Without labelled texts every weight is 0. A null id is drawn as
-id 0. Columns other than those named are ignored.
+rows are documents of their own. Without labelled texts every weight is 0. Rows without an id
+are drawn by their hashes, each on its own. Columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -60,14 +62,14 @@ def _weigh(ratio):
     def run(batches):
         log = ratio.value
         for batch in batches:
-            buf, offs = text_buffer(batch.column(1))
+            buf, offs = text_buffer(batch.column(2))
             out, mean = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             for a, b, words, first in hashed_words(buf, offs, SPACE, True):
                 g, doc = grams(words, first, len(log))
                 many = np.bincount(doc, minlength=b - a)
                 out[a:b] = np.bincount(doc, weights=log[g], minlength=b - a)
                 mean[a:b] = out[a:b] / np.maximum(many, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mean), pa.array(out)], names=["doc_id", "score", "log_weight"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(mean), pa.array(out)], names=["row", "doc_id", "score", "log_weight"])
 
     return run
 
@@ -89,11 +91,12 @@ def log_ratio(docs: DataFrame, good_ids: DataFrame, buckets: int = 1 << 16, most
 
 
 def score(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, score (mean log ratio per n-gram), log_weight (their sum)."""
+    """One row per row of docs: row (a hash of id and text), doc_id, score (mean log ratio per n-gram), log_weight (their sum)."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(ratio)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_weigh(sent), "doc_id bigint, score double, log_weight double")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.xxhash64(F.col(id_col).cast("long"), text).alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    return rows.mapInArrow(_weigh(sent), "row bigint, doc_id bigint, score double, log_weight double")
 
 
 def _interval(rows: DataFrame, level, k: int) -> tuple[int | None, int]:
@@ -106,13 +109,17 @@ def _interval(rows: DataFrame, level, k: int) -> tuple[int | None, int]:
     return None, above
 
 
-def gumbel_top_k(scored: DataFrame, share: float = 0.75, seed: int = 11) -> DataFrame:
+def gumbel_top_k(scored: DataFrame, share: float = 0.75, seed: int = 11, temperature: float = 1.0, by_length: bool = False) -> DataFrame:
     """Adds key and selected: the `share` of the rows with the largest key, exactly.
 
     The driver sees counts of at most 2,048 intervals at each level.
     """
-    u = (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52)
-    keyed = written(scored.withColumn("key", F.col("log_weight") - F.log(-F.log(u))), "keys")
+    if temperature <= 0:
+        raise ValueError("temperature must be positive")
+    named = [c for c in ("doc_id", "row") if c in scored.columns]
+    u = (F.pmod(F.xxhash64(*named, F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52)
+    weight = F.col("score" if by_length else "log_weight") / F.lit(float(temperature))
+    keyed = written(scored.withColumn("key", weight - F.log(-F.log(u))), "keys")
     k = math.ceil(share * keyed.count())
     if k <= 0:
         return keyed.withColumn("selected", F.lit(False))
@@ -127,6 +134,6 @@ def gumbel_top_k(scored: DataFrame, share: float = 0.75, seed: int = 11) -> Data
     return rest.unionByName(ranked.withColumn("selected", F.col("r") <= k - above - more).drop("r"))
 
 
-def resample(docs: DataFrame, good_ids: DataFrame, share: float = 0.75, **options) -> DataFrame:
+def resample(docs: DataFrame, good_ids: DataFrame, share: float = 0.75, temperature: float = 1.0, by_length: bool = False, **options) -> DataFrame:
     """One row per row of docs: doc_id, score, log_weight, key, selected."""
-    return gumbel_top_k(score(docs, log_ratio(docs, good_ids, **options)), share)
+    return gumbel_top_k(score(docs, log_ratio(docs, good_ids, **options)), share, temperature=temperature, by_length=by_length).drop("row")

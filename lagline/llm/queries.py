@@ -123,8 +123,9 @@ def op3_language_id(spark, sf_dir):
 
 @query
 def op7_quality(spark, sf_dir):
-    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
-    return quality.resample(table(spark, sf_dir, "documents"), good, share=0.75)
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").where(~language_id.held_out()).select("doc_id")
+    out = quality.resample(table(spark, sf_dir, "documents"), good, share=0.75)
+    return out.withColumn("held_out", language_id.held_out())  # labels of those weren't learned from
 
 
 @query

@@ -23,7 +23,7 @@ def odd(spark):
     long = " ".join(f"w{i % 977}" for i in range(30_000))
     rows = [(1, "alpha beta gamma delta epsilon", "a"), (1, "alpha beta gamma delta epsilon", "a"), (2, None, None), (3, "", "a"), (None, "alpha beta gamma delta epsilon", "b"), (4, "  \n\t ", "b"), (5, long, "b"), (6, "123 !!! 456", None), (7, "ünïcode Größe ÄÖ " * 30, "c")]
     df = docs(spark, rows)
-    return df.withColumns({c: F.lit("clash") for c in ("key", "bucket", "payload", "kind", "n", "cls", "copies_", "word", "size", "low", "__x")})
+    return df.withColumns({c: F.lit("clash") for c in ("key", "bucket", "payload", "kind", "n", "cls", "copies", "copies_", "row", "id", "word", "size", "low", "__x")})
 
 
 def empty(spark):
@@ -46,7 +46,7 @@ def test_every_operator_takes_odd_rows(spark):
     assert mixing.plan(df).count() == n
     assert license_scan.scan(df).count() == n
     assert lm_score.score(df, lm_score.train(df)).count() == n
-    for out in (language_id.drop_unidentified(df, language_id.train(df)), exact_dedup.drop(df), ngram_join.drop_near_duplicates(df), decontaminate.remove(spark, df, items), mixing.apply(df).drop("copies")):
+    for out in (language_id.drop_unidentified(df, language_id.train(df)), exact_dedup.drop(df), ngram_join.drop_near_duplicates(df), decontaminate.remove(spark, df, items), mixing.apply(df).drop("copies__")):
         assert out.columns == df.columns and out.count() <= n
 
 

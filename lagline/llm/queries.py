@@ -139,25 +139,27 @@ def op10_lm_score(spark, sf_dir):
 
 
 def _license_sql() -> str:
-    """Plain containment of every line in every template, without the filters."""
-    sets = license_scan.template_sets(license_scan.TEMPLATES)
-    templates = ", ".join(f"('{label}', {words!r})" for label, words in sets)
+    """Plain containment of every run of words in every template, without the filters."""
+    templates = license_scan.template_list(license_scan.TEMPLATES)
+    named = ", ".join(f"({k}, '{t.label}', {t.words!r}, {t.run(1.25)}, {t.need(0.8)})" for k, t in enumerate(templates))
     places = []
     for phrase in license_scan.PHRASES:
         ps = phrase.split()
         same = " AND ".join(f"ws[i + {k}] = '{p}'" for k, p in enumerate(ps))
         places.append(f"list_filter(range(1, len(ws) - {len(ps)} + 2), lambda i: {same})")
-    named = ", ".join(f"{p} AS at_{label}" for p, label in zip(places, license_scan.PHRASES.values(), strict=True))
+    at = ", ".join(f"{p} AS at_{label}" for p, label in zip(places, license_scan.PHRASES.values(), strict=True))
     every = "list_concat(" * (len(places) - 1) + "at_" + list(license_scan.PHRASES.values())[0] + "".join(f", at_{label})" for label in list(license_scan.PHRASES.values())[1:])
     base = "list_filter([" + ", ".join(f"CASE WHEN len(at_{label}) > 0 THEN '{label}' END" for label in license_scan.PHRASES.values()) + "], lambda x: x IS NOT NULL)"
     return f"""
-WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, {_WORDS} AS ws FROM documents),
-p AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, {named} FROM d),
-t(label, words) AS (VALUES {templates}),
-l AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{license_scan.WORDS}')) AS lw FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d)),
-m AS (SELECT doc_id, label, max(len(list_intersect(words, lw)) / CAST(len(words) AS DOUBLE)) AS share FROM l, t WHERE len(list_intersect(words, lw)) >= ceil(0.8 * len(words) - 1e-9) GROUP BY ALL),
-s AS (SELECT doc_id, list(label) AS more, max(share) AS score FROM m GROUP BY doc_id),
-q AS (SELECT p.doc_id, n_words, {every} AS every, {base} AS base, more, score FROM p LEFT JOIN s USING (doc_id))
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+p AS (SELECT r, doc_id, CAST(len(ws) AS BIGINT) AS n_words, {at} FROM d),
+t(k, label, words, run, need) AS (VALUES {named}),
+u AS (SELECT k, label, run, need, len(words) AS m, unnest(words) AS word FROM t),
+w AS (SELECT r, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM d),
+x AS (SELECT r, k, label, run, need, m, w.word, pos FROM w JOIN u USING (word)),
+n AS (SELECT label, r, need, m, count(DISTINCT word) OVER (PARTITION BY r, k ORDER BY pos RANGE BETWEEN CURRENT ROW AND run - 1 FOLLOWING) AS held FROM x),
+s AS (SELECT r, list(DISTINCT label) AS more, max(held / CAST(m AS DOUBLE)) AS score FROM n WHERE held >= need GROUP BY r),
+q AS (SELECT p.doc_id, n_words, {every} AS every, {base} AS base, more, score FROM p LEFT JOIN s USING (r))
 SELECT doc_id, n_words, CAST(len(every) AS BIGINT) AS n_base, list_min(every) - 1 AS first_word, list_max(every) - 1 AS last_word,
        array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, [])))), ',') AS labels, coalesce(score, 0.0) AS score
 FROM q

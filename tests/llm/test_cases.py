@@ -209,32 +209,46 @@ def test_license_rules(spark):
         license_scan.scan(docs(spark, rows), templates={"x": ["!!"]})
 
 
-def test_license_filters_lose_nothing(spark):
-    """The filtered join against plain containment of every line."""
-    import re
-
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_license_filters_lose_nothing(spark, threshold):
+    """The filtered join against plain containment of every run of words."""
     rng = random.Random(2)
     words = sorted({w for ts in license_scan.TEMPLATES.values() for t in ts for w in t.split()})
-    lines = [[rng.choice(words) for _ in range(rng.randint(1, 25))] for _ in range(150)]
+    texts = [[rng.choice(words) if rng.random() < 0.7 else "other" for _ in range(rng.randint(1, 60))] for _ in range(80)]
     for ts in license_scan.TEMPLATES.values():
         for t in ts:
-            for cut in (0, 1, 3):
+            for cut in (0, 1, 3, 6):
                 w = t.split()
-                rng.shuffle(w)
-                lines.append(w[cut:])
-    rows = [(i, " ".join(w), "a") for i, w in enumerate(lines)]
-    got = {r["doc_id"]: r for r in license_scan.scan(docs(spark, rows), phrases={"qq qq": "q"}).collect()}
-    for i, w in enumerate(lines):
+                if cut % 2:
+                    rng.shuffle(w)
+                for _ in range(cut):
+                    w.insert(rng.randrange(len(w) + 1), "other")
+                texts.append(["x"] * rng.randint(0, 30) + w[cut:] + texts[rng.randrange(80)])
+    df = docs(spark, [(i, " \n"[i % 2].join(w), "a") for i, w in enumerate(texts)])
+    got = {r["doc_id"]: r for r in license_scan.scan(df, phrases={"qq qq": "q"}, threshold=threshold).collect()}
+    templates = license_scan.template_list(license_scan.TEMPLATES)
+    for i, w in enumerate(texts):
         shares = {}
-        for label, ts in license_scan.TEMPLATES.items():
-            for t in ts:
-                s = set(re.findall(license_scan.WORDS, t))
-                share = len(s & set(w)) / len(s)
-                if share >= 0.8:
-                    shares[label] = max(share, shares.get(label, 0))
+        for t in templates:
+            runs = [set(w[a : a + t.run(1.25)]) & set(t.words) for a in range(len(w))]
+            best = max(map(len, runs))
+            if best >= t.need(threshold):
+                shares[t.label] = max(best / len(t.words), shares.get(t.label, 0))
         assert got[i]["labels"] == ",".join(sorted(shares)) and got[i]["score"] == pytest.approx(max(shares.values(), default=0.0))
 
 
+def test_license_templates_from_a_table(spark):
+    table = spark.createDataFrame([("own", "you shall not use this for profit"), ("own", None)], "label string, text string")
+    templates = license_scan.read_templates(table)
+    rows = [(1, "Whatever: you shall not\nuse  this -- for profit!", "a"), (2, "you shall", "a"), (3, None, "a")]
+    got = {r["doc_id"]: (r["labels"], r["n_words"]) for r in license_scan.scan(docs(spark, rows), templates=templates).collect()}
+    assert got == {1: ("own", 8), 2: ("", 2), 3: ("", 0)}
+    assert {r["labels"] for r in license_scan.scan(docs(spark, rows), templates={}).collect()} == {""}
+    for call in (lambda: license_scan.read_templates(table, most=0), lambda: license_scan.template_list(templates, most_words=3)):
+        with pytest.raises(ValueError):
+            call()
+
+
 def test_mixing_is_exact_but_for_one(spark):
     rng = np.random.default_rng(0)
     size, p = rng.integers(1, 300, 500).astype(float), rng.random(500)

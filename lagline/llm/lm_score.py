@@ -13,12 +13,13 @@ the k-grams seen; others fall back with mu / (n(c) + mu).
 
 Counts come from all training texts: map tasks add up a segment's distinct k-grams,
 packed, by key range; a range's task merges them and writes its shard of the level to
-the shared folder, where every worker maps it. A frequent context is split over ranges.
+the shared folder, where every worker maps it. Ranges are as many as the input's size asks for. A frequent context is split over ranges.
 The driver sees a row per shard. Nothing is broadcast but the list of shards.
 
 Defined results: null text counts as empty: its only token is the end. A null id is in
 training. Without training texts N = V = 0, and every probability is 1 or falls
 back to 1. Repeated rows count each. Columns other than id and text are ignored.
+More than 2^32 distinct words, or an order whose keys pass 64 bits, are an error.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrow import SPACE, by_bucket, deltas, hashed_words, id_array, ids, pack, runs, splitmix, spread, text_buffer, undeltas, unpack
-from ._store import bucket_keys, fresh, partitions, ship
+from ._store import bucket_count, bucket_keys, fresh, ship
 from .elias_fano import EliasFano, build, dump, load, part
 
 END = np.uint64(splitmix(4001))
@@ -359,7 +360,7 @@ def train(docs: DataFrame, order: int = 2, mu: float = 4.0, id_col: str = "doc_i
     spark: SparkSession = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n = partitions(spark)
+    n = bucket_count(rows, 8)
     trie = Trie(fresh(spark, "trie"), mu, order, shards=n)
     stats = {r["shard"]: r for r in _built(rows, _count_words(n), _write_words(trie.at), n)}
     sizes = [stats[b]["size"] if b in stats else 0 for b in range(n)]
@@ -368,6 +369,8 @@ def train(docs: DataFrame, order: int = 2, mu: float = 4.0, id_col: str = "doc_i
     trie.words, trie.total = int(sum(sizes)), int(masses.sum())
     trie.heavy = [(int(trie.offsets[b] + i), int(c)) for b, r in stats.items() for i, c in zip(r["top"], r["top_n"], strict=True)]
     for level in range(2, order + 1 if trie.words else 2):
+        if trie.words >= 1 << 32:
+            raise ValueError("more than 2^32 distinct words: their pairs don't fit 64-bit keys")
         if level == 2:
             trie.cuts[2] = _cuts(trie, masses, n)
         else:  # nodes of the level below are about as many in each range

@@ -113,6 +113,18 @@ def op1_ngram_join(spark, sf_dir):
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+ORACLE["op1_ngram_join"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS shingle FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b)
+SELECT a AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, min(b) AS component_id FROM r LEFT JOIN n ON n.doc_id = a GROUP BY 1, 2
+"""
+
+
 @query
 def op3_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out())
@@ -133,9 +145,8 @@ def op10_lm_score(spark, sf_dir):
     held = language_id.held_out(folds=7)
     docs = table(spark, sf_dir, "documents")
     trie = lm_score.train(docs.where(~held), order=3)
-    out = lm_score.score(docs, trie).withColumnRenamed("score", "ngram_score")
-    # `score` is the bigrams', as it was; `ngram_score` is the whole order's.
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", F.element_at("by_order", 2).alias("score"), "ngram_score")
+    out = lm_score.score(docs, trie)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", F.element_at("by_order", 2).alias("bigram_score"))
 
 
 def _license_sql() -> str:

@@ -121,7 +121,7 @@ def test_op10(spark, duck, sf_dir):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(t), sum(one[w] > 0 for w in t), n)
         assert r["base_score"] == pytest.approx(sum(map(math.log10, p)), abs=1e-6)
         full = sum(math.log10((two[u, w] + mu * q) / (one[u] + mu)) for u, w, q in zip([None, *t[:-1]], t, p, strict=True))
-        assert abs(r["score"] - full) <= 0.02 * len(t) + 1e-6  # the stored probabilities are quantised
+        assert abs(r["bigram_score"] - full) <= 0.02 * len(t) + 1e-6  # the stored probabilities are quantised
 
 
 def test_pipeline(spark, duck, sf_dir):

@@ -30,7 +30,7 @@ def test_op10_counts_and_looks_up_trigrams(spark, duck, sf_dir):
                 seen = grams[k - 1][tuple(t[j - k + 1 : j])]
                 p = (grams[k][tuple(t[j - k + 1 : j + 1])] + mu * p) / (seen + mu) if seen else p
             full += math.log10(p)
-        assert r["ngram_score"] == pytest.approx(full, abs=0.02 * len(t) + 1e-6)
+        assert r["score"] == pytest.approx(full, abs=0.02 * len(t) + 1e-6)
 
 
 def test_license_notices_wrapped_over_lines(spark):

@@ -8,8 +8,10 @@ Two rules for ties, both kept:
 
 Each method gives a Column; put as many as needed into one select. Row frames share the
 sort of (entity, time, rid) with time frames over (entity, time), if they're named
-first. A time frame over a hot entity costs rows times window; the sweep_ functions
-do the same in one growing frame.
+first. A trailing count is the difference of two growing frames, and costs the same however many
+rows a window holds. So does with_sweeps, the form for trailing distinct counts: each value
+enters and leaves, and one growing frame adds up the changes. Sums, means and z-scores
+slide, which costs rows times window, as differences of growing sums would lose digits.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import keyed, micros
+from ..functions.scalars import DAY_US, keyed, micros
 
 #: Window names and their lengths in hours.
 WINDOWS = {"1h": 1, "24h": 24, "7d": 168, "30d": 720}
@@ -55,7 +57,10 @@ class History:
 
     # Time windows.
     def rolling_count(self, window: str) -> Column:
-        return F.count(F.lit(1)).over(self.range(window))
+        """Rows before the instant, less those before the window."""
+        grow = Window.partitionBy(self.entity).orderBy(self.us)
+        before = lambda us: F.count(F.lit(1)).over(grow.rangeBetween(Window.unboundedPreceding, -us))
+        return before(1) - before(window_us(window) + 1)
 
     def rolling_sum(self, value: Column, window: str) -> Column:
         return F.coalesce(F.sum(value.cast("double")).over(self.range(window)), F.lit(0.0))
@@ -69,7 +74,7 @@ class History:
         return F.coalesce(F.try_divide(x - F.avg(x).over(w), F.stddev_samp(x).over(w)), F.lit(0.0))
 
     def rolling_distinct(self, value: Column, window: str) -> Column:
-        """Distinct values in the window, null being one. Holds a window's values per row: see sweep_distinct."""
+        """Distinct values in the window, null being one. Holds a window's values per row: see with_sweeps."""
         return F.size(F.collect_set(keyed(value)).over(self.range(window))).cast("long")
 
     # Rows before.
@@ -88,10 +93,6 @@ class History:
     def first_occurrence(self, value: Column) -> Column:
         return (F.row_number().over(self.rows(keyed(value))) == 1).cast("double")
 
-    def prior_distinct(self, value: Column) -> Column:
-        """Distinct earlier values: needs the first flags as a column; see with_prior_distinct."""
-        raise TypeError("window functions can't be nested: use with_prior_distinct")
-
     def with_prior_distinct(self, df: DataFrame, **values: Column) -> DataFrame:
         """Adds, for each name=value, the number of distinct values in earlier rows."""
         flags = {f"__first_{k}": self.first_occurrence(v).cast("long") for k, v in values.items()}
@@ -105,34 +106,36 @@ class History:
         return (self.us - F.lag(self.us).over(self.rows(keyed(value)))) / 1e6
 
 
-def _deltas(df: DataFrame, h: History, key: Column, width: int) -> DataFrame:
-    """+1 from just after a row holds its value, -1 from when the value has left (or is held by a later row)."""
-    e, us = F.col(h.entity).alias("e"), h.us
-    nxt = F.lead(us).over(Window.partitionBy(h.entity, key).orderBy(us, *h.rid))
-    held = df.select(e, us.alias("t"), F.least(F.coalesce(nxt, us + width), us + width).alias("until"))
-    return held.select("e", F.explode(F.array(F.struct(F.col("t"), F.lit(1).alias("d")), F.struct(F.col("until").alias("t"), F.lit(-1).alias("d")))).alias("x")).select("e", "x.t", "x.d")
-
-
-def sweep_distinct(df: DataFrame, h: History, value: str, window: str, name: str) -> DataFrame:
-    """df with the trailing distinct count in one growing frame: linear, whatever a window holds.
+def with_sweeps(df: DataFrame, h: History, specs: dict[str, tuple[Column | None, str]], by_day: bool = False) -> DataFrame:
+    """df with trailing counts: name -> (value, window) counts distinct values, (None, window) rows. Linear, whatever a window holds.
 
-    A value is held for observers in (t, min(next row with it, t + W)]; the count at t is
-    the sum of all changes strictly before t. Changes are first summed by (entity, instant).
+    A value is held for observers in (t, min(next row with it, t + W)]: it enters with its row at t and leaves by
+    an event of its own, and the count at t is the sum of all changes strictly before t. Rows and events of an
+    entity share one exchange if df lies by entity. by_day is for entities that are too large for a task:
+    changes are summed by (entity, day), and run within a day on top of that.
     """
-    changes = _deltas(df, h, keyed(F.col(value)), window_us(window))
-    seen = df.select(F.col(h.entity).alias("e"), h.us.alias("t"), F.lit(0).alias("d")).unionByName(changes)
-    steps = seen.groupBy("e", "t").agg(F.sum("d").alias("d"))
-    before = Window.partitionBy("e").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    counts = steps.select(F.col("e").alias("__e"), F.col("t").alias("__t"), F.coalesce(F.sum("d").over(before), F.lit(0)).cast("long").alias(name))
-    return df.join(counts, df[h.entity].eqNullSafe(F.col("__e")) & (h.us == F.col("__t")), "left").drop("__e", "__t")
-
-
-def sweep_count(df: DataFrame, h: History, window: str, name: str) -> DataFrame:
-    """df with the trailing count by the same sweep: +1 at t, -1 at t + W (exclusive of the left edge)."""
-    width = window_us(window)
-    rows = df.select(F.col(h.entity).alias("e"), h.us.alias("t"))
-    every = rows.select("e", F.explode(F.array(F.struct(F.col("t"), F.lit(1).alias("d")), F.struct((F.col("t") + width).alias("t"), F.lit(-1).alias("d")))).alias("x")).select("e", "x.t", "x.d")
-    steps = every.groupBy("e", "t").agg(F.sum("d").alias("d"))
-    before = Window.partitionBy("e").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    counts = steps.select(F.col("e").alias("__e"), F.col("t").alias("__t"), F.coalesce(F.sum("d").over(before), F.lit(0)).cast("long").alias(name))
-    return df.join(counts, df[h.entity].eqNullSafe(F.col("__e")) & (h.us == F.col("__t")), "left").drop("__e", "__t")
+    t, row = h.us, F.struct(*[F.col(f"`{c}`") for c in df.columns if c != h.entity])
+    ends = {}
+    for k, (value, window) in enumerate(specs.values()):
+        end = t + window_us(window)
+        if value is not None:
+            again = F.lead(t).over(Window.partitionBy(h.entity, keyed(value)).orderBy(t, *h.rid))
+            end = F.least(F.coalesce(again, end), end)
+        ends[f"__until{k}"] = end
+    rows = df.select(h.entity, t.alias("__t"), row.alias("__row"), *[c.alias(n) for n, c in ends.items()])
+    n = range(len(specs))
+    event = [F.struct(F.col("__t").alias("t"), F.col("__row").alias("row"), *[F.lit(1).alias(f"d{k}") for k in n])]
+    event += [F.struct(F.col(f"__until{j}").alias("t"), F.when(F.lit(False), F.col("__row")).alias("row"), *[F.lit(-1 if j == k else 0).alias(f"d{k}") for k in n]) for j in n]
+    events = rows.select(h.entity, F.explode(F.array(*event)).alias("x")).select(h.entity, "x.*")
+    before = Window.partitionBy(h.entity, *(["__day"] if by_day else [])).orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    total = {name: F.coalesce(F.sum(f"d{k}").over(before), F.lit(0)).cast("long") for k, name in enumerate(specs)}
+    if by_day:
+        events = events.withColumn("__day", F.floor(F.col("t") / DAY_US))
+        days = events.groupBy(h.entity, "__day").agg(*[F.sum(f"d{k}").alias(f"s{k}") for k in n])
+        earlier = Window.partitionBy(h.entity).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+        days = days.select(F.col(h.entity).alias("__e"), F.col("__day").alias("__d"), *[F.coalesce(F.sum(f"s{k}").over(earlier), F.lit(0)).alias(f"b{k}") for k in n])
+        events = events.join(days, events[h.entity].eqNullSafe(days["__e"]) & (events["__day"] == days["__d"]))
+        total = {name: c + F.col(f"b{k}") for k, (name, c) in enumerate(total.items())}
+    out = events.withColumns({f"__n{k}": c for k, c in enumerate(total.values())}).where("row is not null")
+    own = [F.col(h.entity) if c == h.entity else F.col(f"row.`{c}`") for c in df.columns]
+    return out.select(*own, *[F.col(f"__n{k}").alias(name) for k, name in enumerate(specs)])

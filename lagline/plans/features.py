@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators.history import History
+from ..operators.history import History, with_sweeps
 from ..operators.joins import attach_unique
 from ..sources.sinks import KEYS
 
@@ -46,6 +46,11 @@ class _Build:
         self.order += [n for n in features if not n.startswith("__")]
         self.df = self.df.withColumns({f"f_{n}": c for n, c in features.items()})
 
+    def sweep(self, h: History, **values: tuple[Column, str]) -> None:
+        """Trailing distinct counts: name=(value, window)."""
+        self.order += list(values)
+        self.df = with_sweeps(self.df, h, {f"f_{n}": v for n, v in values.items()})
+
     def use(self, name: str) -> Column:
         return F.col(f"f_{name}")
 
@@ -89,7 +94,7 @@ def ibm_ccf(df: DataFrame) -> DataFrame:
     merchant, mcc, state, city, channel = (text(c) for c in ("Merchant Name", "MCC", "Merchant State", "Merchant City", "Use Chip"))
     foreign = S.is_foreign(state)
     b.add({f"errors_{w}": h.rolling_sum(errored, w) for w in ("1h", "24h", "7d")})
-    b.add({"distinct_merchants_24h": h.rolling_distinct(merchant, "24h")})
+    b.sweep(h, distinct_merchants_24h=(merchant, "24h"))
     contexts = {"merchant": merchant, "mcc": mcc, "state": state, "city": city, "channel": channel, "card": text("Card")}
     b.add({f"first_{n}_for_entity": h.first_occurrence(v) for n, v in contexts.items()})
     b.add({"first_foreign_for_entity": h.first_occurrence(foreign) * foreign})
@@ -142,7 +147,7 @@ def sparkov(df: DataFrame) -> DataFrame:
     b.add({"distance_from_home_km": far})
     b.add({"__far_mean": h.prior_mean(b.use("distance_from_home_km")), "__far_max": h.prior_max(b.use("distance_from_home_km"))})
     b.add({"distance_over_entity_mean": S.safe_ratio(b.use("distance_from_home_km"), b.use("__far_mean")), "distance_over_entity_max": S.safe_ratio(b.use("distance_from_home_km"), b.use("__far_max"))})
-    b.add({"distinct_merchants_24h": h.rolling_distinct(merchant, "24h"), "distinct_categories_7d": h.rolling_distinct(category, "7d")})
+    b.sweep(h, distinct_merchants_24h=(merchant, "24h"), distinct_categories_7d=(category, "7d"))
     for n, v in (("merchant", merchant), ("category", category)):
         b.add({f"first_{n}_for_entity": h.first_occurrence(v), f"secs_since_same_{n}": h.gap_since_same(v)})
     _distinct(b, h, prior_distinct_merchants=merchant)
@@ -164,7 +169,7 @@ def saml_d(df: DataFrame) -> DataFrame:
     receiver, country, home = text("Receiver_account"), text("Receiver_bank_location"), text("Sender_bank_location")
     kind, paid, got = text("Payment_type"), text("Payment_currency"), text("Received_currency")
     b.add({"amount_just_under_10k": S.in_range(size, THRESHOLD * (1 - JUST_UNDER), THRESHOLD)})
-    b.add({"distinct_receivers_24h": out.rolling_distinct(receiver, "24h"), "distinct_receivers_7d": out.rolling_distinct(receiver, "7d"), "distinct_receiver_countries_7d": out.rolling_distinct(country, "7d")})
+    b.sweep(out, distinct_receivers_24h=(receiver, "24h"), distinct_receivers_7d=(receiver, "7d"), distinct_receiver_countries_7d=(country, "7d"))
     b.add({"new_receiver_rate_7d": S.safe_ratio(b.use("distinct_receivers_7d"), b.use("txn_count_7d"))})
     firsts = {"receiver": receiver, "receiver_country": country, "payment_type": kind, "currency_pair": S.pair_key(paid, got)}
     b.add({f"first_{n}_for_entity": out.first_occurrence(v) for n, v in firsts.items()})
@@ -173,7 +178,8 @@ def saml_d(df: DataFrame) -> DataFrame:
     # The receiver's side.
     sender = F.col("entity_id")
     b.add({"receiver_txn_ordinal": into.ordinal(), "__in_mean": into.prior_mean(size), "secs_since_receiver_last_paid": into.gap_seconds()})
-    b.add({"receiver_in_count_24h": into.rolling_count("24h"), "receiver_in_count_7d": into.rolling_count("7d"), "receiver_in_amount_7d": into.rolling_sum(size, "7d"), "receiver_distinct_senders_7d": into.rolling_distinct(sender, "7d")})
+    b.add({"receiver_in_count_24h": into.rolling_count("24h"), "receiver_in_count_7d": into.rolling_count("7d"), "receiver_in_amount_7d": into.rolling_sum(size, "7d")})
+    b.sweep(into, receiver_distinct_senders_7d=(sender, "7d"))
     b.add({"first_sender_for_receiver": into.first_occurrence(sender)})
     b.add({"receiver_prior_distinct_senders": F.coalesce(F.sum(b.use("first_sender_for_receiver")).over(into._past()), F.lit(0.0)).cast("long")})
     b.add({"receiver_amount_over_mean": S.safe_ratio(size, b.use("__in_mean")), "receiver_sender_concentration_7d": S.safe_ratio(b.use("receiver_distinct_senders_7d"), b.use("receiver_in_count_7d"))})

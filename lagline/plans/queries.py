@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import campaigns, encoders, joins, metrics, reports, sequences, splits
 from ..operators.delay import Delay, assign_reported_at, censored_labels, censoring, delay_summary, draw_micros
-from ..operators.history import History, sweep_count, sweep_distinct, window_us
+from ..operators.history import History, window_us, with_sweeps
 from ..sources.schema import violations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,19 +110,28 @@ _LCOLS = ", ".join(L_RID[:5])
 
 @query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*) OVER {_LPAST} AS n_30d FROM lineitem")
 def trailing_count_ties(spark, sf_dir):
-    """By the sweep, over an entity whose rows share days."""
-    return sweep_count(table(spark, sf_dir, "lineitem", *L_RID), SENDER, "30d", "n_30d").select(*L_RID[:4], "n_30d")
+    """Over an entity whose rows share days."""
+    return table(spark, sf_dir, "lineitem", *L_RID[:5]).select(*L_RID[:4], SENDER.rolling_count("30d").alias("n_30d"))
+
+
+@query(ORACLE["trailing_count_ties"])
+def trailing_count_by_day(spark, sf_dir):
+    """By the sweep in two levels, days and within them: the form for entities too large for a task."""
+    rows = table(spark, sf_dir, "lineitem", *L_RID[:5])
+    return with_sweeps(rows, SENDER, {"n_30d": (None, "30d")}, by_day=True).select(*L_RID[:4], "n_30d")
 
 
 @query(f"SELECT event_id, count(DISTINCT coalesce(event_type, '~na')) OVER {past('7d')} AS d_7d FROM events")
 def trailing_distinct_7d(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", EVENTS.rolling_distinct(F.col("event_type"), "7d").alias("d_7d"))
+    rows = events(spark, sf_dir).repartition("user_id")
+    return with_sweeps(rows, EVENTS, {"d_7d": (F.col("event_type"), "7d")}).select("event_id", "d_7d")
 
 
 @query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, count(DISTINCT l_partkey) OVER {_LPAST} AS d_30d FROM lineitem")
 def trailing_distinct_30d_ties(spark, sf_dir):
     """By the sweep: the form for entities of any size."""
-    return sweep_distinct(table(spark, sf_dir, "lineitem", *L_RID), SENDER, "l_partkey", "30d", "d_30d").select(*L_RID[:4], "d_30d")
+    rows = table(spark, sf_dir, "lineitem", *L_RID).repartition("l_suppkey")
+    return with_sweeps(rows, SENDER, {"d_30d": (F.col("l_partkey"), "30d")}).select(*L_RID[:4], "d_30d")
 
 
 # Rows before.
@@ -185,14 +194,16 @@ _RPAST = past("30d", "l_partkey", "epoch_us(l_shipdate)")
 )
 def fan_in_fan_out(spark, sf_dir):
     """Two histories over one table: of the sender and of the receiver."""
-    rows = sweep_distinct(table(spark, sf_dir, "lineitem", *L_RID), SENDER, "l_partkey", "30d", "out_receivers")
+    rows = table(spark, sf_dir, "lineitem", *L_RID).repartition("l_suppkey")
+    rows = with_sweeps(rows, SENDER, {"out_n": (None, "30d"), "out_receivers": (F.col("l_partkey"), "30d")}).repartition("l_partkey")
+    rows = with_sweeps(rows, RECEIVER, {"in_n": (None, "30d"), "in_senders": (F.col("l_suppkey"), "30d")})
     return rows.select(
         *L_RID[:4],
-        SENDER.rolling_count("30d").alias("out_n"),
+        "out_n",
         "out_receivers",
-        RECEIVER.rolling_count("30d").alias("in_n"),
+        "in_n",
         F.round(RECEIVER.rolling_sum(F.col("l_extendedprice"), "30d"), 4).alias("in_amount"),
-        RECEIVER.rolling_distinct(F.col("l_suppkey"), "30d").alias("in_senders"),
+        "in_senders",
         RECEIVER.first_occurrence(F.col("l_suppkey")).alias("first_sender"),
     )
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lagline.operators.history import History, sweep_count, sweep_distinct
+from lagline.operators.history import History, with_sweeps
 
 T0 = dt.datetime(2020, 3, 1, 12)
 H = History("entity_id", "event_time", ("rid",))
@@ -70,8 +70,11 @@ def test_sweeps_against_brute_force(spark):
         past = [v for f, g, _, v in rows if f == e and h - 24 <= g < h]
         want_n.append(len(past))
         want_d.append(len({str(v) for v in past}))
-    got = {r["rid"]: (r["n"], r["d"]) for r in sweep_count(sweep_distinct(df, H, "value", "24h", "d"), H, "24h", "n").collect()}
-    assert [got[i] for i in range(len(rows))] == list(zip(want_n, want_d, strict=True))
+    for by_day in (False, True):
+        out = with_sweeps(df, H, {"d": (F.col("value"), "24h"), "n": (None, "24h")}, by_day)
+        assert out.columns == [*df.columns, "d", "n"]
+        got = {r["rid"]: (r["n"], r["d"]) for r in out.collect()}
+        assert [got[i] for i in range(len(rows))] == list(zip(want_n, want_d, strict=True))
     assert column(df, H.rolling_count("24h")) == want_n
     assert column(df, H.rolling_distinct(F.col("value"), "24h")) == want_d
 

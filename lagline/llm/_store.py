@@ -51,11 +51,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def input_size(df: DataFrame) -> int:
+    """Bytes of df as Spark estimates them: those of the files that it reads. Without an estimate, that of 256 MB for each of its partitions."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else df._jdf.queryExecution().toRdd().getNumPartitions() << 28
+
+
 def bucket_count(df: DataFrame, mb: int = 32) -> int:
     """Buckets for what is made of df: one to each shuffle partition, and more of them if a bucket would stand for over `mb` of input as Spark estimates its size."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    n = partitions(df.sparkSession)
-    return n if size > 1 << 60 else max(n, min(-(-size // (mb << 20)), 1 << 16))  # no estimate: the largest number
+    return max(partitions(df.sparkSession), min(-(-input_size(df) // (mb << 20)), 1 << 16))
 
 
 #: Bits of a sieve's bitmap: at most SIEVE / 64 rows of 16 bytes are broadcast, whatever the tables hold.
@@ -102,14 +106,19 @@ def _murmur(k: int) -> int:
     return h - (1 << 32) if h >> 31 else h
 
 
-def bucket_keys(spark: SparkSession, n: int) -> list[int]:
-    """n int keys that Spark's hash deals evenly over the shuffle partitions, one after the other."""
-    p = partitions(spark)
-    most, load, keys, k = -(-n // p), [0] * p, [], 0
-    while len(keys) < n:
-        at = _murmur(k) % p
-        if load[at] < most:
-            load[at] += 1
-            keys.append(k)
+def bucket_keys(n: int) -> list[int]:
+    """n int keys that Spark's hash deals to n partitions, one to each."""
+    taken, keys, k = set(), [None] * n, 0
+    while len(taken) < n:
+        at = _murmur(k) % n
+        if at not in taken:
+            taken.add(at)
+            keys[len(taken) - 1] = k
         k += 1
     return keys
+
+
+def dealt(rows: DataFrame, bucket: str, buckets: int) -> DataFrame:
+    """rows (with a bucket from 0 on) by bucket, a partition for each; few of them for many thousands. Adds key."""
+    key = F.element_at(F.array(*map(F.lit, bucket_keys(buckets))), F.col(bucket) + 1) if buckets <= 4096 else F.col(bucket)
+    return rows.withColumn("key", key).repartition(buckets, "key")

@@ -38,16 +38,23 @@ def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     return {"low": low, "high": words, "zeros": zeros.astype(np.uint32 if zeros[-1] < 1 << 32 else np.uint64), "shape": np.array([n, width, universe], np.uint64)}
 
 
+_L, _H = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_M1, _M2, _M4 = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
+#: Position of the k-th set bit of a byte, at 8 * byte + k.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[k] for b in range(256) for k in range(8)], np.uint8)
+
+
 def _select(word: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Position of the left-th set bit (from 0) of each word."""
-    pos = np.zeros(len(word), np.uint64)
-    for size in (32, 16, 8, 4, 2, 1):
-        ones = np.bitwise_count(word & np.uint64((1 << size) - 1)).astype(np.int64)
-        go = left >= ones
-        left = np.where(go, left - ones, left)
-        step = np.where(go, np.uint64(size), np.uint64(0))
-        word, pos = word >> step, pos + step
-    return pos.astype(np.int64)
+    """Position of the left-th set bit (from 0) of each word: bytes' running counts, side by side in a word, then a table."""
+    one, left = np.uint64(1), left.astype(np.uint64)
+    s = word - ((word >> one) & _M1)
+    s = (s & _M2) + ((s >> np.uint64(2)) & _M2)
+    s = ((s + (s >> np.uint64(4))) & _M4) * _L  # byte i: bits set in bytes 0 to i
+    full = (((left * _L) | _H) - s) & _H  # bytes that end before the bit
+    place = np.minimum(np.bitwise_count(full).astype(np.uint64) << np.uint64(3), np.uint64(56))
+    rank = left - (((s << np.uint64(8)) >> place) & np.uint64(0xFF))
+    byte = (word >> place) & np.uint64(0xFF)
+    return place.astype(np.int64) + _IN_BYTE[((byte << np.uint64(3)) | (rank & np.uint64(7))).astype(np.int64)]
 
 
 class EliasFano:

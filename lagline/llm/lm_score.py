@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrow import SPACE, by_bucket, deltas, hashed_words, id_array, ids, pack, runs, splitmix, spread, text_buffer, undeltas, unpack
-from ._store import bucket_count, bucket_keys, fresh, ship
+from ._store import bucket_count, dealt, fresh, ship
 from .elias_fano import EliasFano, build, dump, load, part
 
 END = np.uint64(splitmix(4001))
@@ -332,10 +332,8 @@ _STATS = "shard bigint, size bigint, total bigint, top array<bigint>, top_n arra
 
 def _built(rows: DataFrame, count, write, shards: int) -> list:
     """Runs one level; the driver gets a row per shard."""
-    spark = rows.sparkSession
-    chunks = rows.mapInArrow(count, _CHUNK)
-    key = F.element_at(F.array(*map(F.lit, bucket_keys(spark, shards))), F.col("key") + 1) if shards <= 4096 else F.col("key")
-    return sorted(chunks.select(key.alias("key"), F.col("key").alias("bucket"), "payload").groupBy("key").applyInArrow(write, _STATS).collect(), key=lambda r: r["shard"])
+    chunks = rows.mapInArrow(count, _CHUNK).withColumnRenamed("key", "bucket")
+    return sorted(dealt(chunks, "bucket", shards).groupBy("key").applyInArrow(write, _STATS).collect(), key=lambda r: r["shard"])
 
 
 def _cuts(trie: Trie, masses: np.ndarray, shards: int) -> np.ndarray:

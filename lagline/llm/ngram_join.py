@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrow import SPACE, by_bucket, by_group, deltas, hashed_words, id_array, ids, mix, pack, roll, runs, spread, splitmix, text_buffer, undeltas, unpack, windows_of
-from ._store import bucket_count, bucket_keys, partitions, ship, sieved, without, written
+from ._store import bucket_count, dealt, partitions, ship, sieved, without, written
 from .components import components, unite
 
 #: Signatures that a map task holds at a time.
@@ -461,8 +461,7 @@ class Join:
         agg = [F.min("row").alias("row"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("c64").alias("c64"), F.first("bits").alias("bits")]
         self.classes = written(self.meta.where("cls is not null").groupBy("cls").agg(*agg), "classes")
         chunks = sets.where("bucket is not null").select("bucket", "payload")
-        key = F.element_at(F.array(*map(F.lit, bucket_keys(self.spark, buckets))), F.col("bucket") + 1) if buckets <= 4096 else F.col("bucket")
-        self.found = written(chunks.select(key.alias("key"), "bucket", "payload").groupBy("key").applyInArrow(_pairs(small), _PAIRS), "tiles")  # one bucket to each partition
+        self.found = written(dealt(chunks, "bucket", buckets).groupBy("key").applyInArrow(_pairs(small), _PAIRS), "tiles")
 
     def _allowed(self, pairs: DataFrame) -> DataFrame:
         """Of pairs of classes (a, b), those that pass the bounds of sizes and bits, with the share that the bits allow."""

@@ -1,9 +1,9 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length token window.
 
 Every window of `window` words gets a 64-bit rolling hash, and a second, independent one:
-its high bits pick the bucket, its low 16 go along. Two windows pass for one only if
-all of these agree, which is 80 bits and one more for each doubling of the buckets: with
-10^13 windows in 65,536 buckets, less than one false agreement in a thousand runs is expected.
+its high bits pick the bucket, and as many of its low bytes go along as the input's size asks for. Two windows pass
+for one only if all of these agree. The bytes are so many that of all pairs of windows, less than one false
+agreement in a thousand runs is expected: 0 of them for 10^9 windows, 2 for 10^13 in 65,536 buckets.
 Map tasks keep a hash's first place of each segment (some million windows) and so send
 a frequent passage once per segment, however often it occurs. A bucket's task
 finds the places that aren't a hash's first; they go back to their rows, merge into
@@ -41,7 +41,7 @@ from ._arrow import (
     unpack,
     windows_of,
 )
-from ._store import bucket_count, bucket_keys, partitions, ship
+from ._store import bucket_count, dealt, input_size, ship
 
 _SCHEMA = "key int, kind int, payload binary"
 _ARROW = pa.schema([("key", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
@@ -53,6 +53,12 @@ SEGMENT = 3_000_000
 BATCH = 2_000_000
 
 
+def twin_bytes(size: int, buckets: int) -> int:
+    """Bytes of the second hash, for an input of size bytes (as stored: a byte or more a window): 2 log2(windows) + 10 bits, less those of the first hash and the bucket."""
+    need = 2 * max(size, 1).bit_length() + 10 - 64 - (buckets.bit_length() - 1)
+    return next((n for n in (0, 2) if 8 * n >= need), 4)
+
+
 def _home(rows: np.ndarray, n: int) -> np.ndarray:
     """The bucket to which a row's text and places go, by the row's hash."""
     h = (rows.view(np.uint64) + np.uint64(7)) * np.uint64(splitmix(77) | 1)
@@ -109,12 +115,12 @@ class Windows:
         return [(b, _PLACES, pack(*self.of(at[x])[1:], raw=(1,))) for b, x in by_bucket(_home(self.row[self.own[at]], buckets), buckets)]
 
 
-def _windows(n: int, buckets: int, most: int):
+def _windows(n: int, buckets: int, most: int, twin: int):
     def segment(held):
         many = [len(x[0]) for x in held]
         shift = np.repeat(np.cumsum([0, *many[:-1]]), [len(x[2]) for x in held])
         doc, row, own, start, h, g = (np.concatenate(x) for x in zip(*held, strict=True))
-        w = Windows(doc, row, own + shift, start, h, (g & np.uint64(0xFFFF)).astype(np.uint16))
+        w = Windows(doc, row, own + shift, start, h, (g & np.uint64((1 << 8 * twin) - 1)).astype({0: np.uint8, 2: np.uint16, 4: np.uint32}[twin]))
         first, later = w.judged()
         out = w.places(later, buckets)
         for b, x in by_bucket(spread(g[first], buckets), buckets):
@@ -242,19 +248,19 @@ def _removed(n: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT, twin: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, text (the words left, joined by one space), n_words, n_removed.
 
     A word goes if a window over it also starts earlier: in a row before, or in
-    the same row before.
+    the same row before. twin, the bytes of the second hash that go along (0, 2 or 4), follows from the input's size.
     """
     spark = docs.sparkSession
     ship(spark)
     src = docs.select(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     buckets = bucket_count(src, 8)
-    key = F.element_at(F.array(*map(F.lit, bucket_keys(spark, buckets))), F.col("key") + 1).alias("key") if buckets <= 4096 else F.col("key")
-    dealt = lambda rows: rows.select(key, F.col("key").alias("bucket"), "kind", "payload")  # noqa: E731  one bucket to each partition
-    places = dealt(src.mapInArrow(_windows(window, buckets, segment), _SCHEMA)).groupBy("key").applyInArrow(_repeats(buckets), _SCHEMA)
+    twin = twin_bytes(input_size(src), buckets) if twin is None else twin
+    key = lambda rows: dealt(rows.withColumnRenamed("key", "bucket"), "bucket", buckets)
+    places = key(src.mapInArrow(_windows(window, buckets, segment, twin), _SCHEMA)).groupBy("key").applyInArrow(_repeats(buckets), _SCHEMA)
     texts = src.mapInArrow(_texts(buckets), _SCHEMA)
-    rows = dealt(places.unionByName(texts)).repartition(partitions(spark), "key").sortWithinPartitions("bucket", "kind")
+    rows = key(places.unionByName(texts)).sortWithinPartitions("bucket", "kind")
     return rows.select("bucket", "kind", "payload").mapInArrow(_removed(window), _OUT)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import micros
+from .splits import quantiles, range_bucket, running_total
 
 
 def assign_campaigns(df: DataFrame, gap_us: int, rid: tuple[str, ...], entity: str = "entity_id", time: str = "event_time", label: str = "is_fraud") -> DataFrame:
@@ -13,7 +14,7 @@ def assign_campaigns(df: DataFrame, gap_us: int, rid: tuple[str, ...], entity: s
 
     A campaign begins where the entity changes or more than the gap has passed. Dense ids
     need one order over all campaigns: a campaign's number is the campaigns of smaller
-    entities (one row per entity with positives) plus its own place.
+    entities (running totals by ranges of entities) plus its own place.
     """
     if gap_us < 0:
         raise ValueError("a gap must not be negative")
@@ -24,8 +25,8 @@ def assign_campaigns(df: DataFrame, gap_us: int, rid: tuple[str, ...], entity: s
     pos = pos.withColumn("__new", (last.isNull() | (us - last > gap_us)).cast("long"))
     pos = pos.withColumn("__n", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     per = pos.groupBy(entity).agg(F.max("__n").alias("__many"))
-    before = F.sum("__many").over(Window.orderBy(F.col(entity).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
-    per = per.select(F.col(entity).alias("__e"), F.coalesce(before, F.lit(0)).alias("__base"))
+    per = running_total(per, entity, {"__upto": "__many"}, range_bucket(per, entity))
+    per = per.select(F.col(entity).alias("__e"), (F.col("__upto") - F.col("__many")).alias("__base"))
     pos = pos.join(per, pos[entity].eqNullSafe(per["__e"])).withColumn("campaign_id", (F.col("__base") + F.col("__n") - 1).cast("long"))
     rest = df.where(~F.coalesce(F.col(label), F.lit(False))).withColumn("campaign_id", F.lit(None).cast("long"))
     return pos.select(*df.columns, "campaign_id").unionByName(rest)
@@ -37,4 +38,9 @@ def campaign_sizes(df: DataFrame) -> DataFrame:
 
 def campaign_summary(df: DataFrame) -> DataFrame:
     """n_campaigns, largest, median size: one row."""
-    return campaign_sizes(df).agg(F.count(F.lit(1)).alias("n_campaigns"), F.coalesce(F.max("size"), F.lit(0)).cast("long").alias("largest"), F.coalesce(F.percentile("size", F.lit(0.5)), F.lit(0.0)).alias("median_size"))
+    per = campaign_sizes(df).groupBy("size").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.orderBy("size").rowsBetween(Window.unboundedPreceding, 0)  # distinct sizes: few
+    run = per.withColumn("cum", F.sum("n").over(w))
+    middle = quantiles(run, "size", [0.5])
+    got = run.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_campaigns"), F.coalesce(F.max("size"), F.lit(0)).cast("long").alias("largest"))
+    return got.crossJoin(F.broadcast(middle)).select("n_campaigns", "largest", F.coalesce("q0", F.lit(0.0)).alias("median_size"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import keyed, micros
-from .splits import day_of, running_total
+from .splits import day_of, range_bucket, running_total
 
 #: Share of the rows and number of levels that a capped vocabulary keeps.
 COVERAGE, MAX_LEVELS = 0.99, 256
@@ -40,8 +40,9 @@ def capped_codes(df: DataFrame, column: str, vocabulary: DataFrame, name: str) -
 def sorted_vocabulary(df: DataFrame, column: str, train: Column | None = None, null_level: str = "__null__") -> DataFrame:
     """(level, code): all train levels by value; the code after the last is for unseen ones."""
     rows = df if train is None else df.where(train)
-    levels = rows.select(F.coalesce(F.col(column).cast("string"), F.lit(null_level)).alias("level")).distinct()
-    return levels.withColumn("code", F.row_number().over(Window.orderBy("level")) - 1)
+    levels = rows.select(F.coalesce(F.col(column).cast("string"), F.lit(null_level)).alias("level")).distinct().withColumn("__one", F.lit(1))
+    run = running_total(levels, "level", {"__upto": "__one"}, range_bucket(levels, "level"))
+    return run.select("level", (F.col("__upto") - 1).cast("int").alias("code"))
 
 
 def ordinal_codes(df: DataFrame, column: str, vocabulary: DataFrame, name: str, null_level: str = "__null__") -> DataFrame:
@@ -74,10 +75,26 @@ def standardize(df: DataFrame, columns: list[str], train: Column, population: bo
     return out.drop(*m.columns)
 
 
-def causal_count(value: Column, train: Column, time: str, rid: tuple[str, ...]) -> Column:
-    """Earlier train rows with the same value, in row order; null counts as a value."""
-    w = Window.partitionBy(keyed(value)).orderBy(micros(F.col(time)), *rid).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(train.cast("long")).over(w), F.lit(0)).cast("long")
+def _before(rows: DataFrame, key: str, rid: tuple[str, ...], sums: dict[str, str]) -> DataFrame:
+    """rows with, for each name -> column, its sum over the key's earlier rows, in (__us, rid) order.
+
+    In two levels, (key, day) and rows within it, so a frequent value is dealt over its days.
+    """
+    rows = rows.withColumn("__day", day_of("__us"))
+    days = rows.groupBy(key, "__day").agg(*[F.sum(c).alias(f"__s_{n}") for n, c in sums.items()])
+    earlier = Window.partitionBy(key).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(key, "__day", *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(f"__b_{n}") for n in sums])
+    own = Window.partitionBy(key, "__day").orderBy("__us", *rid).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(days, [key, "__day"])
+    out = out.withColumns({n: F.col(f"__b_{n}") + F.coalesce(F.sum(c).over(own), F.lit(0)) for n, c in sums.items()})
+    return out.drop("__day", *[f"__b_{n}" for n in sums])
+
+
+def causal_count(df: DataFrame, value: Column, train: Column, time: str, rid: tuple[str, ...], name: str) -> DataFrame:
+    """df with the number of earlier train rows with the same value, in row order; null counts as a value."""
+    rows = df.withColumns({"__key": keyed(value), "__us": micros(F.col(time)), "__w": F.coalesce(train, F.lit(False)).cast("long")})
+    out = _before(rows, "__key", rid, {"__n": "__w"})
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col("__n").cast("long").alias(name))
 
 
 def rarity(count: Column, foreign: Column) -> dict[str, Column]:
@@ -99,10 +116,9 @@ def chronological_rate(df: DataFrame, column: str, label: Column, train: Column,
     every = per.agg(F.max("__cy").alias("__ally"), F.max("__cw").alias("__allw"))
     per = per.select(F.col("__us").alias("__t"), (F.col("__cy") - F.col("__sy")).alias("__by"), (F.col("__cw") - F.col("__sw")).alias("__bw"))
     inst = Window.partitionBy("__us").orderBy(*rid).rowsBetween(Window.unboundedPreceding, -1)
-    key = Window.partitionBy("__key")
-    own = key.orderBy("__us", *rid).rowsBetween(Window.unboundedPreceding, -1)
     z = lambda c: F.coalesce(c, F.lit(0))
-    rows = rows.withColumns({"__ky": z(F.sum("__y").over(own)), "__kw": z(F.sum("__w").over(own)), "__ty": F.sum("__y").over(key), "__tw": F.sum("__w").over(key)})
+    whole_key = rows.groupBy("__key").agg(F.sum("__y").alias("__ty"), F.sum("__w").alias("__tw"))
+    rows = _before(rows, "__key", rid, {"__ky": "__y", "__kw": "__w"}).join(whole_key, "__key")
     rows = rows.withColumns({"__py": z(F.sum("__y").over(inst)), "__pw": z(F.sum("__w").over(inst))})
     rows = rows.join(per, rows["__us"] == per["__t"]).crossJoin(F.broadcast(every))
     prior = lambda y, n: (y + F.lit(PRIOR_POSITIVES)) / (n + F.lit(PRIOR_ROWS))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .splits import range_bucket, running_total
+
 
 class JoinContractError(ValueError):
     """A side doesn't keep what the join needs of it."""
@@ -24,8 +26,10 @@ def lookup(df: DataFrame, side: DataFrame, on: dict[str, str], drop: tuple[str,
 
 
 def positional_key(df: DataFrame, order: str, name: str) -> DataFrame:
-    """df with its 0-based row number in the order of a file-position column."""
-    return df.withColumn(name, (F.row_number().over(Window.orderBy(order)) - 1).cast("long"))
+    """df with its 0-based row number in the order of a file-position column, which must be distinct; ranges of it run on their own."""
+    own = running_total(df.select(order, F.lit(1).alias("__one")), order, {"__upto": "__one"}, range_bucket(df, order))
+    own = own.select(F.col(order).alias("__at"), (F.col("__upto") - 1).cast("long").alias(name))
+    return df.join(own, df[order] == own["__at"]).drop("__at")
 
 
 def attach_unique(df: DataFrame, side: DataFrame, key: str, value: str, name: str) -> DataFrame:

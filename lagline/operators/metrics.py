@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .splits import range_bucket, running_total
+
 
 def score_steps(df: DataFrame, score: str, label: Column) -> DataFrame:
     """(s, n, p, cn, cp): rows and positives of each score, and of all at least as high; scores from high to low.
 
-    Work is by distinct scores. Scores are put into ranges first, so that each runs on its own.
+    Work is by distinct scores, in ranges cut at scores of the smallest hashes, so crowded scores spread too.
     """
     per = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(label.cast("long")).alias("p"))
-    edge = per.agg(F.min("s").alias("__lo"), F.max("s").alias("__hi"))
-    b = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("__hi") - F.col("s")) / (F.col("__hi") - F.col("__lo")) * 255)).otherwise(0).cast("int")
-    per = per.crossJoin(F.broadcast(edge)).withColumn("__b", b).drop("__lo", "__hi")
-    sums = per.groupBy("__b").agg(F.sum("n").alias("__n"), F.sum("p").alias("__p"))
-    w = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("__b").alias("__c"), F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__bn"), F.coalesce(F.sum("__p").over(w), F.lit(0)).alias("__bp"))
-    own = Window.partitionBy("__b").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    out = per.join(F.broadcast(sums), F.col("__b") == F.col("__c"))
-    return out.select("s", "n", "p", (F.col("__bn") + F.sum("n").over(own)).alias("cn"), (F.col("__bp") + F.sum("p").over(own)).alias("cp"))
+    per = per.withColumn("__down", -F.col("s"))
+    return running_total(per, "__down", {"cn": "n", "cp": "p"}, range_bucket(per, "__down")).drop("__down")
 
 
 def average_precision(df: DataFrame, score: str, label: Column) -> DataFrame:

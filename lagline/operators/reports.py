@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .splits import running_total
+
 
 def table_stats(df: DataFrame, time: str = "event_time", entity: str = "entity_id", label: str = "is_fraud") -> DataFrame:
     """One row: rows, positives, rate, entities, first and last time."""
@@ -54,9 +56,9 @@ def zero_runs(months: DataFrame, min_months: int = 3) -> DataFrame:
 def delay_ecdf(df: DataFrame, delay_days: Column, label: Column) -> DataFrame:
     """days, rows (with exactly that delay) and percent of delays up to it, by row rank."""
     per = df.where(label).groupBy(F.round(delay_days, 6).alias("days")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("days").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    return per.select("days", "n", (100.0 * F.sum("n").over(w) / F.sum("n").over(every)).alias("pct"))
+    run = running_total(per, "days", {"cum": "n"}, F.floor("days"))
+    total = run.agg(F.max("cum").alias("total"))
+    return run.crossJoin(F.broadcast(total)).select("days", "n", (100.0 * F.col("cum") / F.col("total")).alias("pct"))
 
 
 def seed_summary(scores: DataFrame, group: str, value: str) -> DataFrame:

@@ -46,14 +46,41 @@ def running_total(per: DataFrame, order: str, values: dict[str, str], bucket: Co
     return out.drop("__b", *[f"__base_{n}" for n in values])
 
 
+def range_bucket(per: DataFrame, column: str, many: int = 128) -> Column:
+    """A bucket for running totals in the order of any column of distinct values: at most many + 1 of them, null first.
+
+    The cuts are the values of the smallest hashes, so buckets are about even however the values lie. One
+    small job fetches them.
+    """
+    c = F.col(column)
+    cuts = sorted(r[0] for r in per.select(c.alias("c")).where("c is not null").orderBy(F.xxhash64("c"), "c").limit(many).collect())
+    if not cuts:
+        return F.lit(0)
+    kind = per.schema[column].dataType
+    return F.when(c.isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*[F.lit(x).cast(kind) for x in cuts]), lambda x: x <= c)))
+
+
+def quantiles(run: DataFrame, value: str, at: list[float], cum: str = "cum") -> DataFrame:
+    """One row, q0 to qn: linearly interpolated quantiles of value (a number), from its rows' running count; null without rows.
+
+    Ranks are exact, and no task holds the distinct values.
+    """
+    total = run.agg(F.max(cum).alias("__total"))
+    met = run.crossJoin(F.broadcast(total))
+    place = [F.lit(q) * (F.col("__total") - 1) for q in at]
+    held = lambda rank: F.min(F.when(F.col(cum) > rank, F.col(value).cast("double")))
+    aggs = [x.alias(f"{n}{i}") for i, h in enumerate(place) for n, x in (("lo", held(F.floor(h))), ("hi", held(F.ceil(h))), ("part", F.max(h - F.floor(h))))]
+    return met.agg(*aggs).select(*[(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"part{i}")).alias(f"q{i}") for i in range(len(at))])
+
+
 def day_of(us: str) -> Column:
     """A bucket for running totals over microseconds: at most 366 a year of data."""
     return F.floor(F.col(us) / S.DAY_US)
 
 
 def hash_bucket(h: str) -> Column:
-    """A bucket for running totals over 64-bit hashes: 256 of them."""
-    return F.shiftright(h, 56)
+    """A bucket for running totals over hashes in hex: 256 of them."""
+    return F.substring(h, 1, 2)
 
 
 def instants(df: DataFrame, time: str) -> DataFrame:
@@ -99,7 +126,7 @@ def keep_upstream_test(df: DataFrame, is_test: Column, val_fraction: float = 0.1
 def by_quantiles(df: DataFrame, at=(0.8, 0.9), time: str = "event_time") -> DataFrame:
     """df with split, cut on linearly interpolated time quantiles (<)."""
     us = S.micros(F.col(time))
-    first, second = (F.lit(q) for q in df.agg(*[F.percentile(us, F.lit(p)) for p in at]).first())
+    first, second = (F.lit(q) for q in quantiles(instants(df, time), "us", list(at)).first())
     return df.withColumn("split", _label(us < first, us < second))
 
 
@@ -145,66 +172,82 @@ def study_population(df: DataFrame, time: str = "event_time") -> DataFrame:
     return df.where(F.col(time) < F.lit(STUDY_END).cast("timestamp_ntz"))
 
 
-def assign_customers(sizes: np.ndarray, seed: int = SPLIT_SEED, ratios=(0.8, 0.1, 0.1), repairs: int = 200) -> np.ndarray:
-    """Part (0, 1, 2) of each customer, balanced on rows with fixed numbers of customers.
+def assign_sizes(sizes: np.ndarray, counts: np.ndarray, ratios=(0.8, 0.1, 0.1), repairs: int = 200) -> np.ndarray:
+    """How many customers of each size go to each part: balanced on rows, with fixed numbers of customers.
 
-    Largest first, to the part that then misses its row targets least (in relative
-    squares) and has room; then up to `repairs` times the swap of two customers that
-    lowers the miss most. A swap's effect depends on the two sizes only, so one
-    customer per distinct size and part is looked at.
+    Largest first, each to the part that then misses its row targets least (in relative
+    squares) and has room; then up to `repairs` times the swap of two customers that lowers the
+    miss most. Customers of one size are alike, so the table has a row per distinct size; of a size
+    with many customers, all but a few per part are dealt at once, in proportion to the room.
     """
     ratios = np.array(check_ratios(ratios))
-    rng = np.random.default_rng(seed)
-    n = len(sizes)
-    tie = rng.random((n, 4))
-    want = ratios * sizes.sum()
+    n, rows = int(counts.sum()), float((sizes * counts).sum())
+    want = np.maximum(ratios * rows, 1e-9)
     room = np.array([int(ratios[0] * n), int(ratios[1] * n), 0])
     room[2] = n - room.sum()
-    have, part = np.zeros(3), np.full(n, -1)
+    have, part = np.zeros(3), np.zeros((len(sizes), 3), np.int64)
     miss = lambda h: (((h - want) / want) ** 2).sum(axis=-1)
-    for i in np.lexsort((tie[:, 0], -sizes)):
-        cost = np.where(room > 0, miss(have + np.eye(3) * sizes[i]), np.inf)
-        k = np.lexsort((tie[i, 1:], cost))[0]
-        part[i], room[k], have[k] = k, room[k] - 1, have[k] + sizes[i]
+    for i in np.argsort(-sizes, kind="stable"):
+        left = int(counts[i])
+        if left > 64:
+            lot = np.minimum((left - 32) * room // max(room.sum(), 1), room)
+            part[i], room, have, left = part[i] + lot, room - lot, have + lot * sizes[i], left - int(lot.sum())
+        for _ in range(left):
+            k = int(np.argmin(np.where(room > 0, miss(have + np.eye(3) * sizes[i]), np.inf)))
+            part[i, k], room[k], have[k] = part[i, k] + 1, room[k] - 1, have[k] + sizes[i]
     for _ in range(repairs):
         now, best = miss(have), None
-        kinds = [np.unique(sizes[part == k]) for k in range(3)]
         for a, b in ((0, 1), (0, 2), (1, 2)):
-            if not len(kinds[a]) or not len(kinds[b]):
+            # Moving x from a to b and y back changes the rows by y - x: for each x, the sizes beside the best y.
+            x, y = np.unique(sizes[part[:, a] > 0]), np.unique(sizes[part[:, b] > 0])
+            if not len(x) or not len(y):
                 continue
-            move = kinds[b][None, :] - kinds[a][:, None]
-            after = np.repeat(have[None, None, :], move.shape[0], 0).repeat(move.shape[1], 1)
+            u, v = (have - want)[a] / want[a] ** 2, (have - want)[b] / want[b] ** 2
+            step = (v - u) / (1 / want[a] ** 2 + 1 / want[b] ** 2)  # the change of a's rows that would be best
+            at = np.clip(np.searchsorted(y, x + step)[:, None] + np.array([-1, 0]), 0, len(y) - 1)
+            move = y[at] - x[:, None]
+            after = np.broadcast_to(have, (*move.shape, 3)).copy()
             after[..., a] += move
             after[..., b] -= move
             cost = miss(after)
             i, j = np.unravel_index(int(cost.argmin()), cost.shape)
             if best is None or cost[i, j] < best[0]:
-                best = (cost[i, j], a, b, kinds[a][i], kinds[b][j])
+                best = (cost[i, j], a, b, x[i], y[at[i, j]])
         if best is None or best[0] >= now - 1e-15:
             break
         _, a, b, x, y = best
-        left = np.flatnonzero((part == a) & (sizes == x))[0]
-        right = np.flatnonzero((part == b) & (sizes == y))[0]
-        part[left], part[right] = b, a
-        have[a] += y - x
-        have[b] -= y - x
+        for size, source, target in ((x, a, b), (y, b, a)):
+            i = int(np.flatnonzero(sizes == size)[0])
+            part[i, source], part[i, target] = part[i, source] - 1, part[i, target] + 1
+            have[source], have[target] = have[source] - size, have[target] + size
     return part
 
 
 def by_customer(df: DataFrame, seed: int = SPLIT_SEED, ratios=(0.8, 0.1, 0.1), entity: str = "entity_id") -> DataFrame:
-    """df with split; each entity is whole. The driver holds a row per entity."""
-    spark = df.sparkSession
-    per = df.groupBy(entity).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col(entity).asc_nulls_first()).toPandas()
-    part = assign_customers(per["n"].to_numpy(np.int64), seed, ratios)
-    rows = [(e, NAMES[k]) for e, k in zip(per[entity].tolist(), part.tolist(), strict=True)]
-    kind = df.schema[entity].dataType.simpleString()
-    made = spark.createDataFrame(rows, f"__e {kind}, split string")
-    return df.join(made, df[entity].eqNullSafe(made["__e"]), "left").drop("__e")
+    """df with split; each entity is whole.
+
+    The driver holds a row per distinct size (of n rows there are at most sqrt(2 n)), not per entity: it says how many
+    entities of a size go to each part, and a seeded hash picks which.
+    """
+    per = df.groupBy(entity).agg(F.count(F.lit(1)).alias("__n"))
+    kinds = per.groupBy("__n").agg(F.count(F.lit(1)).alias("many")).orderBy("__n").collect()
+    sizes = np.array([r["__n"] for r in kinds], np.int64)
+    part = assign_sizes(sizes, np.array([r["many"] for r in kinds], np.int64), ratios) if kinds else np.zeros((0, 3), np.int64)
+    cuts = df.sparkSession.createDataFrame([(int(n), int(p[0]), int(p[0] + p[1])) for n, p in zip(sizes, part, strict=True)], "__size long, __first long, __second long")
+    named = per.withColumn("__h", F.md5(F.concat_ws("-", F.lit(str(seed)), F.coalesce(F.col(entity).cast("string"), F.lit(""))))).withColumn("__b", hash_bucket("__h"))
+    # The place among entities of a size: those in lower buckets, and then in its own.
+    below = named.groupBy("__n", "__b").agg(F.count(F.lit(1)).alias("__k"))
+    lower = Window.partitionBy("__n").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    below = below.select("__n", "__b", F.coalesce(F.sum("__k").over(lower), F.lit(0)).alias("__base"))
+    own = F.row_number().over(Window.partitionBy("__n", "__b").orderBy("__h", entity)) - 1
+    named = named.join(below, ["__n", "__b"]).withColumn("__p", F.col("__base") + own).join(cuts, F.col("__n") == F.col("__size"))
+    named = named.select(F.col(entity).alias("__e"), _label(F.col("__p") < F.col("__first"), F.col("__p") < F.col("__second")).alias("split"))
+    return df.join(named, df[entity].eqNullSafe(named["__e"]), "left").drop("__e")
 
 
 def _hash_place(df: DataFrame, seed: int, keys: tuple[str, ...]) -> DataFrame:
     """df with __p, its 0-based place in the order of a seeded hash of the keys, and __total."""
-    df = df.withColumn("__h", F.xxhash64(F.lit(seed), *keys))
+    df = df.withColumn("__h", F.md5(F.concat_ws("-", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])))
     run = running_total(df.groupBy("__h").agg(F.count(F.lit(1)).alias("__n")), "__h", {"__cum": "__n"}, hash_bucket("__h"))
     total = run.agg(F.max("__cum").alias("__total"))
     place = F.col("__cum") - F.col("__n") + F.row_number().over(Window.partitionBy("__h").orderBy(*keys)) - 1

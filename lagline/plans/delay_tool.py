@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..operators.campaigns import assign_campaigns, campaign_summary
+from ..operators.splits import instants, quantiles
 from ..operators.delay import PRESETS, Delay, assign_reported_at, censoring, delay_summary
 from ..sources.config import UNITS, duration_us
 from ..sources.files import read_table, read_text_csv
@@ -86,9 +87,8 @@ def describe(canon: DataFrame, column: str, delay: Delay, cutoff: str | None) ->
     """Realised delay, and the positives hidden at the cutoff or at time quantiles."""
     spark = canon.sparkSession
     out = {"column": column, **asdict(delay), **delay_summary(canon, column).first().asDict()}
-    us = S.micros(F.col("event_time"))
     if cutoff is None:
-        q = canon.agg(*[F.percentile(us, F.lit(p)).alias(n) for n, p in (("p50", 0.5), ("p70", 0.7), ("p80", 0.8))])
+        q = quantiles(instants(canon, "event_time"), "us", [0.5, 0.7, 0.8]).toDF("p50", "p70", "p80")
         cuts = q.select(F.explode(F.array(*[F.struct(F.lit(n).alias("at"), S.from_micros(F.floor(n).cast("long")).alias("cutoff")) for n in ("p50", "p70", "p80")])).alias("x")).select("x.*")
     else:
         cuts = spark.createDataFrame([("cutoff", cutoff)], "at string, c string").select("at", F.col("c").cast("timestamp_ntz").alias("cutoff"))

@@ -60,8 +60,7 @@ def windows_study(df: DataFrame, regime: str, length: int = 10, stride: int = 5,
         part = splits.by_window(ends, ratios=splits.STUDY_RATIOS).select(F.col("rid").alias("__r"), "split")
         source = df.join(part, df["rid"] == part["__r"], "left").drop("__r")
     train = F.coalesce(F.col("split") == "train", F.lit(False))
-    count = encoders.causal_count(F.col("artifact_merchant_state"), train, "event_time", ("rid",))
-    source = source.withColumn("__count", count).withColumns(encoders.rarity(F.col("__count"), F.col("merchant_is_foreign"))).drop("__count")
+    source = encoders.causal_count(source, F.col("artifact_merchant_state"), train, "event_time", ("rid",), "__count").withColumns(encoders.rarity(F.col("__count"), F.col("merchant_is_foreign"))).drop("__count")
     numeric, categorical = _inputs(source, many)
     rows = encode(source, numeric, categorical, train)
     inputs = F.struct("rid", *[f"z_{c}" for c in numeric], *[f"missing_{c}" for c in numeric], *[f"code_{c}" for c in categorical])

@@ -297,7 +297,7 @@ def campaign_sizes(spark, sf_dir):
 
 
 DEFAULT, SLOW = Delay(7.0, 1.0), Delay(15.0, 1.665, 0, 365.0)
-#: Enough draws for any of the test tables' campaigns: the same prefix that a shorter draw gives.
+#: Draws for up to so many campaigns, which the tables up to sf0.01 have; beyond, the SQL has no delay. A shorter draw is a prefix of it.
 _DRAWN = 6_000
 
 
@@ -342,8 +342,7 @@ SELECT CAST(p AS DOUBLE) AS p, count(*) FILTER (epoch_us(event_time) <= c) AS kn
 def censored_share(spark, sf_dir):
     """At interpolated time quantiles, as a report without a cutoff has them."""
     rows = reported(spark, sf_dir, SLOW)
-    us = S.micros(F.col("event_time"))
-    q = rows.agg(*[F.percentile(us, F.lit(p)).alias(f"q{i}") for i, p in enumerate((0.5, 0.7, 0.8))])
+    q = splits.quantiles(splits.instants(rows, "event_time"), "us", [0.5, 0.7, 0.8])
     cuts = q.select(F.explode(F.array(*[F.struct(F.lit(p).alias("p"), S.from_micros(F.floor(f"q{i}").cast("long")).alias("cutoff")) for i, p in enumerate((0.5, 0.7, 0.8))])).alias("x")).select("x.*")
     return censoring(rows, cuts).select("p", "known", "unreported", r6("share").alias("share"))
 
@@ -529,7 +528,7 @@ k AS (SELECT event_id, CAST(coalesce(sum(CAST(train AS INTEGER)) OVER (PARTITION
 SELECT event_id, n, round(1.0 / sqrt(n + 1.0), 6) AS rarity, CAST(n = 0 AS DOUBLE) AS unseen FROM k"""
 )
 def causal_count_rarity(spark, sf_dir):
-    rows = train_events(spark, sf_dir).withColumn("n", encoders.causal_count(F.col("event_type"), F.col("train"), "ts", ("event_id",)))
+    rows = encoders.causal_count(train_events(spark, sf_dir), F.col("event_type"), F.col("train"), "ts", ("event_id",), "n")
     r = encoders.rarity(F.col("n"), F.lit(0.0))
     return rows.select("event_id", "n", r6(r["rarity"]).alias("rarity"), r["unseen"].alias("unseen"))
 
@@ -609,10 +608,14 @@ def strict_past_history_len10(spark, sf_dir):
     return out.select("o_orderkey", F.array_join(F.col("history").cast("array<string>"), ",").alias("history"))
 
 
-# Seeded draws: no SQL repeats them; tests hold their sizes and balance.
+# Seeded draws: ranks of md5 over the seed and the key. The balance by customers is a search, which no SQL repeats.
 
 
-@query()
+def _drawn(seed: int, key: str, frm: str) -> str:
+    return f"(SELECT *, row_number() OVER (ORDER BY md5('{seed}-' || {key}), {key}) - 1 AS k, count(*) OVER () AS n FROM {frm})"
+
+
+@query(f"SELECT o_orderkey, {_parts('k < floor(0.8 * n)', 'k < floor(0.8 * n) + floor(0.1 * n)')} FROM {_drawn(splits.SPLIT_SEED, 'o_orderkey', 'orders')}")
 def iid_window_split(spark, sf_dir):
     return splits.by_window(orders(spark, sf_dir), keys=("o_orderkey",)).select("o_orderkey", "split")
 
@@ -622,7 +625,10 @@ def iid_customer_split(spark, sf_dir):
     return splits.by_customer(orders(spark, sf_dir), entity="o_custkey").select("o_orderkey", "o_custkey", "split")
 
 
-@query()
+@query(
+    f"""SELECT o_orderkey, true AS label FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT o_orderkey, false
+FROM {_drawn(1729, 'o_orderkey', "(SELECT * FROM orders WHERE o_orderpriority <> '1-URGENT')")} WHERE k < (SELECT count(*) FROM orders WHERE o_orderpriority = '1-URGENT')"""
+)
 def downsample_1to1(spark, sf_dir):
     return splits.downsample(orders(spark, sf_dir).withColumn("label", urgent()), "label", keys=("o_orderkey",)).select("o_orderkey", "label")
 

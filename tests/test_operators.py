@@ -87,13 +87,32 @@ def test_splits(spark):
             splits.check_ratios(bad)
 
 
-def test_customers_are_balanced():
-    n = np.random.default_rng(0).integers(1, 200, 300)
-    part = splits.assign_customers(n)
-    share = np.bincount(part, weights=n) / n.sum()
-    assert np.allclose(share, (0.8, 0.1, 0.1), atol=0.002)
-    assert np.bincount(part).tolist() == [240, 30, 30]
-    assert (splits.assign_customers(n) == part).all()
+def test_customers_are_balanced(spark):
+    for n in (np.random.default_rng(0).integers(1, 200, 300), np.random.default_rng(1).integers(1, 12, 5000), np.array([1000, 1, 1, 1, 1, 1, 1, 1, 1, 1])):
+        sizes_, counts = np.unique(n, return_counts=True)
+        part = splits.assign_sizes(sizes_, counts)
+        assert (part.sum(axis=1) == counts).all() and (part >= 0).all()
+        many = part.sum(axis=0).tolist()
+        assert many[:2] == [int(0.8 * len(n)), int(0.1 * len(n))]
+        if len(n) > 10:
+            assert np.allclose((part * sizes_[:, None]).sum(axis=0) / n.sum(), (0.8, 0.1, 0.1), atol=0.002)
+    rows = [(f"c{k}", j) for k in range(60) for j in range(1 + k % 7)]
+    df = spark.createDataFrame(rows, "entity_id string, j long")
+    got = splits.by_customer(df).collect()
+    assert len(got) == len(rows) and got and sorted(got) == sorted(splits.by_customer(df.repartition(5)).collect())
+    kinds = {}
+    for r in got:
+        kinds.setdefault(r["entity_id"], set()).add(r["split"])
+    assert all(len(k) == 1 for k in kinds.values())
+    assert sorted(list(map(str, kinds.values())).count(str({k})) for k in splits.NAMES) == [6, 6, 48]
+
+
+def test_quantiles_of_running_counts(spark):
+    for values in ([5.0], [1.0, 1.0, 2.0], list(np.random.default_rng(2).integers(0, 30, 101).astype(float))):
+        df = spark.createDataFrame([(float(v),) for v in values], "x double").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+        run = splits.running_total(df, "x", {"cum": "n"}, splits.range_bucket(df, "x", 4))
+        got = splits.quantiles(run, "x", [0.0, 0.3, 0.5, 1.0]).first()
+        assert np.allclose(list(got), np.quantile(values, [0.0, 0.3, 0.5, 1.0]))
 
 
 def test_running_total_matches_plain(spark):
@@ -123,7 +142,7 @@ def test_encoders(spark):
     out = encoders.capped_codes(df, "v", encoders.capped_vocabulary(df, "v"), "c").groupBy("v", "c").count().collect()
     assert {(r["v"], r["c"]) for r in out} == {("a", 0), ("b", 1), (None, 2)}
     t = spark.createDataFrame([(i, T0, "a", b) for i, b in enumerate([True, False, True, False])], "rid long, t timestamp_ntz, v string, train boolean")
-    got = t.select("rid", encoders.causal_count(F.col("v"), F.col("train"), "t", ("rid",)).alias("n")).orderBy("rid").collect()
+    got = encoders.causal_count(t, F.col("v"), F.col("train"), "t", ("rid",), "n").orderBy("rid").collect()
     assert [r["n"] for r in got] == [0, 1, 1, 2]
     z = spark.createDataFrame([(1.0, True), (3.0, True), (None, True), (float("nan"), False), (5.0, False)], "x double, train boolean")
     got = [(r["z_x"], r["missing_x"]) for r in encoders.standardize(z, ["x"], F.col("train")).collect()]

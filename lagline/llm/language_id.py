@@ -24,9 +24,8 @@ through (filter).
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from pathlib import Path
 
 import numpy as np
@@ -38,13 +37,8 @@ from pyspark.sql import functions as F
 from ._arrow import mix, runs
 from ._store import ship, written
 
-def _letters() -> re.Pattern:
-    """Runs of letters: what isn't in \\W or \\d still holds numbers such as a half or a circled one, which go."""
-    more = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
-    return re.compile(rf"[^\W\d_{''.join(more)}]+")
-
-
-LETTERS = _letters()
+#: Runs of letters, and of numbers that aren't decimal digits (a half, a circled one), which words() takes out.
+_RUNS = re.compile(r"[^\W\d_]+")
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Word types that a task remembers.
 REMEMBERED = 150_000
@@ -60,12 +54,16 @@ def read_vocabulary(path: str) -> list[str]:
         raise FileNotFoundError(f"no vocabulary at {path}: give the path of a SentencePiece model, which the driver reads")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (sp.id_to_piece(i).replace("▁", "").lower() for i in range(sp.get_piece_size()))
-    return sorted({p for p in pieces if LETTERS.fullmatch(p)})
+    return sorted({p for p in pieces if p.isalpha()})
 
 
 def word_counts(text: str | None, most_word: int) -> dict[str, int]:
     """The text's words and how often each is there; longer ones in stretches."""
-    out = Counter(LETTERS.findall(text.lower())) if text else Counter()
+    out = Counter(_RUNS.findall(text.lower())) if text else Counter()
+    for w in [w for w in out if not w.isalpha()]:
+        n = out.pop(w)
+        for x in "".join(c if c.isalpha() else " " for c in w).split():
+            out[x] += n
     if out and max(map(len, out)) > most_word:
         for w in [w for w in out if len(w) > most_word]:
             n = out.pop(w)
@@ -99,6 +97,19 @@ class Model:
     prob: np.ndarray  # (pieces + 1, languages), in the order of keys; the last row is for uncovered letters
     prior: np.ndarray  # log, by language
     longest: int
+    lens: np.ndarray | None = None  # letters of each row's piece: 1 for all of them, if not given
+
+    def sieve(self) -> np.ndarray:
+        """A first look at hashes that stays in cache; made once in each worker."""
+        if getattr(self, "_sieve", None) is None:
+            self._sieve = np.zeros(1 << 20, dtype=bool)
+            self._sieve[(self.keys & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        return self._sieve
+
+    def scaled(self) -> np.ndarray:
+        """prob times the scale of the piece's letters."""
+        lens = np.ones(len(self.prob)) if self.lens is None else self.lens
+        return self.prob * (SCALE**lens)[:, None]
 
     def lattice(self, many: list[str]):
         """All pieces in many words, as edges between the places of their letters.
@@ -113,12 +124,14 @@ class Model:
         begin = np.concatenate(([0], np.cumsum(lens)))
         into = np.arange(len(chars)) - begin[word]
         left = lens[word] - into
-        froms, sizes, rows, h = [], [], [], None
+        froms, sizes, rows, h, sieve = [], [], [], None, self.sieve()
         for size in range(1, self.longest + 1):
             if size > len(chars):
                 break
             h = _keys(chars, size, h)
             ok = np.flatnonzero(left[: len(h)] >= size)
+            if size > 1:
+                ok = ok[sieve[(h[ok] & np.uint64(0xFFFFF)).astype(np.int64)]]
             at = np.minimum(np.searchsorted(self.keys, h[ok]), max(len(self.keys) - 1, 0))
             hit = self.keys[at] == h[ok] if len(self.keys) else np.zeros(len(ok), bool)
             if size == 1:
@@ -136,23 +149,20 @@ class Model:
     def log_probs(self, many: list[str]) -> np.ndarray:
         """Log-probability of each word in each language: the sum over all its segmentations."""
         source, to, row, cuts, first = self.lattice(many)
+        scaled = self.scaled()
         alpha = np.zeros((first[-1], len(self.langs)))
         alpha[first[:-1]] = 1.0
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             # Edges from one distance into the words: no two of them end at the same place.
-            alpha[to[a:b]] += alpha[source[a:b]] * (self.prob[row[a:b]] * _scale(to[a:b] - source[a:b])[:, None])
+            alpha[to[a:b]] += alpha[source[a:b]] * scaled[row[a:b]]
         return np.log(np.maximum(alpha[first[1:] - 1], 1e-300)) - (np.diff(first) - 1)[:, None] * np.log(SCALE)
 
 
-def _scale(size: np.ndarray) -> np.ndarray:
-    return SCALE ** size.astype(np.float64)
-
-
 def expected(model: Model, many: list[str], lang: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Expected piece counts of (word, language, count) rows, by forward-backward."""
     source, to, row, cuts, first = model.lattice(many)
     of = np.searchsorted(first, source, "right") - 1
-    p = model.prob[row, lang[of]] * _scale(to - source)  # the scales cancel out below
+    p = model.scaled()[row, lang[of]]  # the scales cancel out below
     alpha, beta = np.zeros(first[-1]), np.zeros(first[-1])
     alpha[first[:-1]] = 1.0
     beta[first[1:] - 1] = 1.0
@@ -222,7 +232,9 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 2, most_w
     langs = sorted(sizes)
     n_docs = np.array([sizes[x] for x in langs], float)
     shape = (len(pieces) + 1, len(langs))
-    model = Model(langs, np.array(sorted(map(_key, pieces)), np.uint64), np.full(shape, 1.0 / shape[0]), np.log(n_docs / max(n_docs.sum(), 1)), max(map(len, pieces), default=1))
+    keyed = sorted((_key(p), len(p)) for p in pieces)
+    lens = np.array([n for _, n in keyed] + [1], float)
+    model = Model(langs, np.array([k for k, _ in keyed], np.uint64), np.full(shape, 1.0 / shape[0]), np.log(n_docs / max(n_docs.sum(), 1)), max(map(len, pieces), default=1), lens)
     for _ in range(rounds if langs else 0):
         sent = spark.sparkContext.broadcast(model)
         got = counts.mapInPandas(_expect(sent), "row bigint, lang bigint, n double").groupBy("row", "lang").agg(F.sum("n").alias("n")).toPandas()
@@ -230,7 +242,7 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 2, most_w
         # Ordered sums, so that runs agree.
         got = got.sort_values(["row", "lang"])
         n[got["row"].to_numpy(int), got["lang"].to_numpy(int)] += got["n"].to_numpy(float).round(6)
-        model = Model(model.langs, model.keys, n / n.sum(axis=0), model.prior, model.longest)
+        model = replace(model, prob=n / n.sum(axis=0))
         sent.unpersist()
     return model
 
@@ -246,7 +258,8 @@ def _predict(model, most_word: int):
                 counts = [word_counts(text, most_word) for text in texts]
                 if len(known) > REMEMBERED:
                     known, table = {}, table[:0]
-                new = list(dict.fromkeys(w for c in counts for w in c if w not in known))
+                new = list(set().union(*counts).difference(known))
+                new.sort()
                 parts = [table]
                 for a in range(0, len(new), STEP):
                     parts.append(m.log_probs(new[a : a + STEP]))
@@ -255,8 +268,8 @@ def _predict(model, most_word: int):
                 for i, c in enumerate(counts, begin):
                     if not c:
                         continue
-                    at = np.fromiter((known[w] for w in c), np.int64, len(c))
-                    total = m.prior + np.fromiter(c.values(), float, len(c)) @ table[at]
+                    at = np.array(list(map(known.__getitem__, c)))
+                    total = m.prior + np.array(list(c.values()), float) @ table[at]
                     best = int(np.argmax(total))
                     lang[i] = m.langs[best]
                     score[i] = 1.0 / float(np.exp(np.minimum(total - total[best], 0.0)).sum())

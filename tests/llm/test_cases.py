@@ -188,8 +188,11 @@ def test_language_rules(spark):
 def test_forward_sums_all_segmentations():
     pieces = ["a", "b", "ab", "ba", "abc"]
     keys = np.array(sorted(map(language_id._key, pieces)), np.uint64)
-    m = language_id.Model(["x", "y"], keys, np.random.default_rng(1).random((6, 2)), np.zeros(2), 3)
     row = {k: i for i, k in enumerate(keys.tolist())}
+    lens = np.ones(6)
+    for x in pieces:
+        lens[row[language_id._key(x)]] = len(x)
+    m = language_id.Model(["x", "y"], keys, np.random.default_rng(1).random((6, 2)), np.zeros(2), 3, lens)
 
     def brute(w, lang):
         return 1.0 if not w else sum((m.prob[row[language_id._key(w[:k])], lang] if w[:k] in pieces else m.prob[5, lang] if k == 1 else 0) * brute(w[k:], lang) for k in range(1, min(3, len(w)) + 1))

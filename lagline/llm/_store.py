@@ -40,11 +40,17 @@ def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+#: For Python workers, which outlive their tasks: large arrays go back to the system when they are freed.
+_FREEING = {"MALLOC_MMAP_THRESHOLD_": str(8 << 20), "MALLOC_TRIM_THRESHOLD_": str(32 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers on this machine import the package from where the driver has it."""
+    """Lets Python workers on this machine import the package from where the driver has it, and give back their memory."""
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    for name, value in _FREEING.items():
+        env.setdefault(name, value)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -63,7 +69,7 @@ def bucket_count(df: DataFrame, mb: int = 32) -> int:
 
 
 #: Bits of a sieve's bitmap: at most SIEVE / 64 rows of 16 bytes are broadcast, whatever the tables hold.
-SIEVE = 1 << 25
+SIEVE = 1 << 24
 
 
 def sieved(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ from ._store import bucket_count, dealt, partitions, ship, sieved, without, writ
 from .components import components, unite
 
 #: Signatures that a map task holds at a time.
-SEGMENT = 3_000_000
+SEGMENT = 1_500_000
 #: A tile of up to so many members gives all its pairs at once.
 SMALL_TILE = 16
 #: Members of a block of a larger tile, which has their bitmaps.
@@ -176,38 +176,30 @@ def _sets(rule: Rule, buckets: int):
     def run(batches):
         held, size, seen = [], 0, set()
         for batch in batches:
-            n, cls, c64, bits = np.zeros(batch.num_rows, np.int64), [], [], []
+            row, doc_ids = batch.column(0), id_array(ids(batch.column(1)))
             buf, offs = text_buffer(batch.column(2))
             for a, g, first in shingle_sets(buf, offs, rule.n):
-                many = np.diff(first)
-                n[a : a + len(many)] = many
+                many = np.diff(first).astype(np.int64)
                 d = digests(g, first)
+                some = many > 0
+                cls = [x.tobytes() if y else None for x, y in zip(d, some, strict=True)]
+                bits = [bitmap(g[x:y]) if y > x else None for x, y in zip(first[:-1], first[1:], strict=True)]
+                cols = [row.slice(a, len(many)), doc_ids.slice(a, len(many)), pa.array(many), pa.array(cls, pa.binary()), pa.array(d[:, 0].astype(np.int64), mask=~some), pa.array(bits, pa.binary()), pa.nulls(len(many), pa.int32()), pa.nulls(len(many), pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, schema=_SET_FIELDS)
                 new = np.zeros(len(many), dtype=bool)
-                for i in range(len(many)):
-                    if not many[i]:
-                        cls.append(None)
-                        c64.append(None)
-                        bits.append(None)
-                        continue
-                    key = d[i].tobytes()
-                    cls.append(key)
-                    c64.append(int(d[i, 0].astype(np.int64)))
-                    bits.append(bitmap(g[first[i] : first[i + 1]]))
-                    new[i] = key not in seen  # of equal sets of a segment, one goes on
-                    seen.add(key)
+                for i in np.flatnonzero(some):  # of equal sets of a segment, one goes on
+                    new[i] = cls[i] not in seen
+                    seen.add(cls[i])
                 for s, low, high, k, m in schemes:
                     own = np.flatnonzero(new & (many >= low) & (many <= high))
                     if len(own):
-                        row = np.concatenate([np.arange(first[i], first[i + 1]) for i in own])
-                        sig, of = signatures(g[row], np.concatenate(([0], np.cumsum(many[own]))), s, k, m)
+                        at = np.concatenate([np.arange(first[i], first[i + 1]) for i in own])
+                        sig, of = signatures(g[at], np.concatenate(([0], np.cumsum(many[own]))), s, k, m)
                         held.append((sig, d[own[of], 0].astype(np.int64)))
                         size += len(sig)
                 if size >= SEGMENT:
                     yield segment(held)
                     held, size, seen = [], 0, set()
-            none = batch.num_rows
-            cols = [batch.column(0), id_array(ids(batch.column(1))), pa.array(n), pa.array(cls, pa.binary()), pa.array(c64, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, schema=_SET_FIELDS)
         if size:
             yield segment(held)
 
@@ -417,15 +409,15 @@ def _arrays(rule: Rule):
         for batch in batches:
             cls = batch.column(0).to_pylist()
             buf, offs = text_buffer(batch.column(4))
-            keep, sets = [], []
             for a, g, first in shingle_sets(buf, offs, rule.n):
+                keep, sets = [], []
                 for i, d in enumerate(digests(g, first)):
                     if cls[a + i] == d.tobytes() and cls[a + i] not in seen:  # else another text with this row hash
                         seen.add(cls[a + i])
                         keep.append(a + i)
                         sets.append(g[first[i] : first[i + 1]].tobytes())
-            own = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*own.columns[:4], pa.array(sets, pa.binary())], names=["cls", "c64", "grp", "nb", "shingles"])
+                own = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(own) for k in range(4)), pa.array(sets, pa.binary())], names=["cls", "c64", "grp", "nb", "shingles"])
 
     return run
 

@@ -1,68 +1,46 @@
-"""Command line: list, download, prepare, info, features."""
+"""Command line: list, download, prepare, info, features.
+
+A command that works on datasets makes a result for each (done, skipped or failed) and reports
+them at the end, so one that fails leaves the others; the exit code is 1 if any failed.
+"""
 
 from __future__ import annotations
 
 import argparse
-import json
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import SparkSession
 
 from ..sources import adapters
-from ..sources.config import load
+from ..sources.config import Config, load
 from ..sources.files import FetchError, fetch
 from ..sources.schema import with_rid
 from ..sources.sinks import write_features
 from .features import SETS, attach_slow
 from .prepare import prepare
 
-#: What may fail for one dataset and leave the others; anything else is a bug.
-STAGE_ERRORS = (FetchError, ValueError, FileNotFoundError)
+#: What may go wrong with one dataset. Anything else is a bug, and ends the command.
+EXPECTED = (FetchError, ValueError, FileNotFoundError)
 
 
-def session() -> SparkSession:
-    return SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+@dataclass(frozen=True)
+class Result:
+    dataset: str
+    state: str  # done, skipped or failed
+    note: object
 
+    def __str__(self) -> str:
+        return f"[{self.state:7}] {self.dataset}: {self.note}"
 
-def parser() -> argparse.ArgumentParser:
-    out = argparse.ArgumentParser(prog="lagline")
-    sub = out.add_subparsers(dest="command", required=True)
-    sub.add_parser("list")
-    for name in ("download", "prepare", "features"):
-        p = sub.add_parser(name)
-        p.add_argument("dataset", nargs="?")
-        p.add_argument("--all", action="store_true")
-        p.add_argument("--config")
-        p.add_argument("--force", action="store_true")
-        p.add_argument("--exclude-noncommercial", action="store_true")
-    p = sub.add_parser("info")
-    p.add_argument("dataset")
-    p.add_argument("--config")
-    return out
 
+def session() -> SparkSession:
+    return SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
-def over(names: list[str], action: Callable[[str], object], skip_noncommercial: bool = False) -> int:
-    """Runs action for each; a stage's failure is that dataset's alone. 1 if any failed."""
-    failed = 0
-    for name in names:
-        try:
-            adapter = adapters.get(name)
-        except adapters.UnknownDataset as e:
-            print(e.args[0], file=sys.stderr)
-            return 1
-        if skip_noncommercial and not adapter.commercial:
-            print(f"{name}: skipped, its licence ({adapter.license}) forbids commercial use")
-            continue
-        try:
-            print(f"{name}: {action(name)}")
-        except STAGE_ERRORS as e:
-            failed += 1
-            print(f"{name}: failed: {e}", file=sys.stderr)
-    return int(bool(failed))
-
-
-def build_features(spark: SparkSession, name: str, config, dest: str | None = None) -> str:
+
+def build_features(spark: SparkSession, name: str, config: Config, dest: str | None = None) -> str:
     if name not in SETS:
         raise ValueError(f"no feature set for {name!r}; there are {', '.join(SETS)}")
     read = lambda n: spark.read.parquet(f"file://{(config.processed / n / 'data.parquet').resolve()}")
@@ -78,31 +56,83 @@ def build_features(spark: SparkSession, name: str, config, dest: str | None = No
     return dest
 
 
-def main(argv: list[str] | None = None) -> int:
-    p = parser()
-    args = p.parse_args(argv)
-    if args.command == "list":
-        for name in adapters.names():
-            a = adapters.get(name)
-            print(f"{name:14s}{a.license:36s}{a.source.url}{'' if a.commercial else '  [noncommercial]'}")
+def attempt(name: str, work: Callable[[str], object], commercial_only: bool = False) -> Result:
+    try:
+        adapter = adapters.get(name)
+        if commercial_only and not adapter.commercial:
+            return Result(name, "skipped", f"not for commercial use under {adapter.license}")
+        return Result(name, "done", work(name))
+    except adapters.UnknownDataset as e:
+        return Result(name, "failed", e.args[0])
+    except EXPECTED as e:
+        return Result(name, "failed", e)
+
+
+def report(results: Iterable[Result]) -> int:
+    results = list(results)
+    for r in results:
+        print(r, file=sys.stderr if r.state == "failed" else sys.stdout)
+    return int(any(r.state == "failed" for r in results))
+
+
+def show_list(args) -> int:
+    rows = [("dataset", "licence", "commercial use", "source")]
+    rows += [(n, a.license, "yes" if a.commercial else "no", a.source.url) for n, a in ((n, adapters.get(n)) for n in adapters.names())]
+    widths = [max(map(len, column)) for column in zip(*rows, strict=True)]
+    for row in rows:
+        print("  ".join(cell.ljust(w) for cell, w in zip(row, widths, strict=True)).rstrip())
+    return 0
+
+
+def show_info(args) -> int:
+    card = load(args.config).processed / args.dataset / "dataset_card.json"
+    if card.is_file():
+        print(card.read_text().strip())
         return 0
+    return report([Result(args.dataset, "failed", f"no card at {card}: prepare it first")])
+
+
+def on_datasets(make: Callable[[argparse.Namespace, Config], Callable[[str], object]], known: Callable[[], list[str]], args) -> int:
     config = load(args.config)
-    if args.command == "info":
-        card = config.processed / args.dataset / "dataset_card.json"
-        if not card.exists():
-            print(f"{args.dataset} isn't prepared", file=sys.stderr)
-            return 1
-        print(json.dumps(json.loads(card.read_text()), indent=2))
-        return 0
-    if bool(args.dataset) == args.all:
-        p.error("give a dataset or --all")
-    every = sorted(SETS) if args.command == "features" else adapters.names()
-    names = every if args.all else [args.dataset]
-    if args.command == "download":
-        return over(names, lambda n: fetch(adapters.get(n).source, config.raw / adapters.get(n).raw_name, force=args.force), args.exclude_noncommercial)
-    spark = session()
-    act = (lambda n: prepare(spark, n, config, force=args.force)) if args.command == "prepare" else (lambda n: build_features(spark, n, config))
-    return over(names, act, args.exclude_noncommercial)
+    work = make(args, config)
+    return report(attempt(n, work, args.exclude_noncommercial) for n in (known() if args.all else [args.dataset]))
+
+
+def _download(args, config: Config):
+    return lambda n: fetch(adapters.get(n).source, config.raw / adapters.get(n).raw_name, force=args.force)
+
+
+def _prepare(args, config: Config):
+    return lambda n: prepare(session(), n, config, force=args.force)
+
+
+def _features(args, config: Config):
+    return lambda n: build_features(session(), n, config)
+
+
+def parser() -> argparse.ArgumentParser:
+    out = argparse.ArgumentParser(prog="lagline", description=__doc__.partition("\n")[0])
+    commands = out.add_subparsers(required=True)
+    commands.add_parser("list", help="the datasets, their licences and sources").set_defaults(run=show_list)
+    info = commands.add_parser("info", help="a prepared dataset's card")
+    info.add_argument("dataset")
+    info.set_defaults(run=show_info)
+    for name, make, known in (("download", _download, adapters.names), ("prepare", _prepare, adapters.names), ("features", _features, lambda: sorted(SETS))):
+        p = commands.add_parser(name)
+        one = p.add_mutually_exclusive_group(required=True)
+        one.add_argument("dataset", nargs="?")
+        one.add_argument("--all", action="store_true")
+        p.add_argument("--force", action="store_true")
+        p.add_argument("--exclude-noncommercial", action="store_true")
+        p.set_defaults(run=partial(on_datasets, make, known))
+    for p in commands.choices.values():
+        p.add_argument("--config")
+    return out
+
+
+def main(argv: list[str] | None = None) -> int:
+    args = parser().parse_args(argv)
+    return args.run(args)
 
 
 if __name__ == "__main__":

@@ -683,3 +683,13 @@ def canonical_projection(spark, sf_dir):
 
     o = orders(spark, sf_dir)
     return core(o, F.col("o_orderdate"), F.col("o_custkey"), F.col("o_totalprice"), urgent()).drop("o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
+def _feature_sets() -> None:
+    from . import feature_queries
+
+    QUERIES.update(feature_queries.QUERIES)
+    ORACLE.update(feature_queries.ORACLE)
+
+
+_feature_sets()

@@ -125,3 +125,50 @@ def chronological_rate(df: DataFrame, column: str, label: Column, train: Column,
     past = (F.col("__ky") + ALPHA * prior(F.col("__by") + F.col("__py"), F.col("__bw") + F.col("__pw"))) / (F.col("__kw") + ALPHA)
     whole = (F.col("__ty") + ALPHA * prior(F.col("__ally"), F.col("__allw"))) / (F.col("__tw") + ALPHA)
     return rows.withColumn(name, F.when(F.col("__w") == 1, past).otherwise(whole)).select(*df.columns, name)
+
+
+UNSEEN = "__unseen__"
+
+
+class Encoder:
+    """Ordinal codes fitted on train rows, and with scale the encoded columns standardised by train's sample moments.
+
+    A column's categories are a table (level, code), of any size, with `__unseen__` as the last code; null is the
+    level `__null__`. Moments are one row, which the fit fetches. A missing value stands at the mean.
+    """
+
+    def __init__(self, train: DataFrame, categorical: tuple[str, ...] = (), numeric: tuple[str, ...] = (), scale: bool = False):
+        self.levels = {c: sorted_vocabulary(train, c) for c in categorical}
+        self.numeric = tuple(numeric)
+        self.moments: dict[str, tuple[float, float]] = {}
+        if scale:
+            names = [*categorical, *numeric]
+            got = moments(self._coded(train), names, F.lit(True), population=False).first()
+            self.moments = {c: (got[f"mean_{c}"], got[f"sd_{c}"]) for c in names}
+
+    def categories(self, column: str) -> DataFrame:
+        """(level, code), the unseen one last."""
+        known = self.levels[column]
+        last = known.agg(F.lit(UNSEEN).alias("level"), F.count(F.lit(1)).cast("int").alias("code"))
+        return known.unionByName(last)
+
+    def code_of(self, column: str, value: str) -> int:
+        row = self.categories(column).where(F.col("level") == value).first()
+        if row is None:
+            raise KeyError(f"{value!r} isn't a category of {column}")
+        return row["code"]
+
+    def _coded(self, df: DataFrame) -> DataFrame:
+        out = df
+        for c, levels in self.levels.items():
+            out = ordinal_codes(out, c, levels, f"__code_{c}")
+        return out.select(*[F.col(f"__code_{c}").alias(c) if c in self.levels else F.col(f"`{c}`") for c in df.columns])
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """df with its columns encoded in place."""
+        out = self._coded(df)
+        scaled = {}
+        for c, (mean, sd) in self.moments.items():
+            x = F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
+            scaled[c] = (F.coalesce(x, F.lit(mean)) - mean) / sd
+        return out.withColumns(scaled) if scaled else out

@@ -18,7 +18,7 @@ from ..sources import adapters
 from ..sources.config import Config, load
 from ..sources.files import FetchError, fetch
 from ..sources.schema import with_rid
-from ..sources.sinks import write_features
+from ..sources.sinks import uri, write_features
 from .features import SETS, attach_slow
 from .prepare import prepare
 
@@ -43,7 +43,7 @@ def session() -> SparkSession:
 def build_features(spark: SparkSession, name: str, config: Config, dest: str | None = None) -> str:
     if name not in SETS:
         raise ValueError(f"no feature set for {name!r}; there are {', '.join(SETS)}")
-    read = lambda n: spark.read.parquet(f"file://{(config.processed / n / 'data.parquet').resolve()}")
+    read = lambda n: spark.read.parquet(uri(config.processed / n / "data.parquet"))
     df = read(name)
     keys = ["event_time", "entity_id", "amount"]
     extra = ()
@@ -51,7 +51,7 @@ def build_features(spark: SparkSession, name: str, config: Config, dest: str | N
         df, extra = attach_slow(df, read("sparkov_slow")), ("reported_at_slow",)
         keys.append("trans_num")
     out = SETS[name](with_rid(df, keys))
-    dest = dest or f"file://{(config.processed.parent / 'features').resolve()}/{name}.parquet"
+    dest = dest or uri(config.processed.parent / "features" / f"{name}.parquet")
     write_features(out, dest, extra)
     return dest
 

@@ -16,7 +16,8 @@ from ..functions import scalars as S
 from ..operators import campaigns, encoders, joins, metrics, reports, sequences, splits
 from ..operators.delay import Delay, assign_reported_at, censored_labels, censoring, delay_summary, draw_micros
 from ..operators.history import History, window_us, with_sweeps
-from ..sources.schema import violations
+from ..sources import sinks
+from ..sources.schema import violations, with_rid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -685,6 +686,136 @@ def canonical_projection(spark, sf_dir):
     return core(o, F.col("o_orderdate"), F.col("o_custkey"), F.col("o_totalprice"), urgent()).drop("o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
 
 
+# Scalars and projections of the raw files.
+
+
+@query(
+    """SELECT o_orderkey, CAST(replace('$' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), '$', '') AS DOUBLE) AS money, trim(CAST(chr(39) || o_orderstatus || chr(39) AS VARCHAR), chr(39)) AS bare,
+  strptime(CAST(1990 + o_orderkey % 9 AS VARCHAR) || '-' || CAST(o_orderkey % 12 + 1 AS VARCHAR) || '-' || CAST(o_orderkey % 28 + 1 AS VARCHAR) || ' ' || CAST(o_orderkey % 24 AS VARCHAR) || ':05', '%Y-%m-%d %H:%M') AS at,
+  TIMESTAMP '2023-01-01' + INTERVAL 1 HOUR * (o_orderkey % 1000) AS later FROM orders"""
+)
+def raw_text_scalars(spark, sf_dir):
+    k = F.col("o_orderkey")
+    money = F.concat(F.lit("$"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+    quoted = F.concat(F.lit("'"), F.col("o_orderstatus"), F.lit("'"))
+    at = S.assemble_minute(1990 + k % 9, k % 12 + 1, k % 28 + 1, F.concat((k % 24).cast("string"), F.lit(":05")))
+    return orders(spark, sf_dir).select("o_orderkey", S.parse_money_strict(money).alias("money"), S.strip_quotes(quoted).alias("bare"), at.alias("at"), S.offset_from("2023-01-01", k % 1000, 3_600_000_000).alias("later"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN a IS NULL OR d IS NULL THEN 'txn_' || CAST(event_id AS VARCHAR) ELSE CAST(user_id AS VARCHAR) || '_' || CAST(a AS VARCHAR) || '.0_' || CAST(CAST(round_even(s / 86400.0 - d, 0) AS BIGINT) AS VARCHAR) || '.0' END AS uid
+FROM (SELECT event_id, user_id, CASE WHEN user_id % 7 > 0 THEN user_id % 300 END AS a, CASE WHEN event_id % 5 > 0 THEN event_id % 40 + 100 END AS d, event_id * 50 % 5000000 AS s FROM events)"""
+)
+def account_uid(spark, sf_dir):
+    u, e = F.col("user_id"), F.col("event_id")
+    address, age = F.when(u % 7 > 0, u % 300).cast("double"), F.when(e % 5 > 0, e % 40 + 100).cast("double")
+    return events(spark, sf_dir).select("event_id", S.account_uid(u, address, e * 50 % 5_000_000, age, e).alias("uid"))
+
+
+@query(
+    """SELECT o_orderkey, CAST(coalesce(length(st) <> 2, false) AS DOUBLE) AS foreign_state, CAST(coalesce(st = st2, false) AS DOUBLE) AS same_state, my AS opened, round((year(o_orderdate) - 1990) * 365.25, 6) AS pin_days,
+  CAST(coalesce(o_totalprice >= 9000 AND o_totalprice < 100000, false) AS DOUBLE) AS inside, st || '->' || o_orderstatus AS pair
+FROM (SELECT *, CASE o_orderkey % 3 WHEN 0 THEN 'NY' WHEN 1 THEN 'Italy' END AS st, CASE WHEN o_orderkey % 2 = 0 THEN 'NY' END AS st2,
+  CASE WHEN o_orderkey % 15 BETWEEN 1 AND 12 THEN make_timestamp(2001, o_orderkey % 15, 1, 0, 0, 0) END AS my FROM orders)"""
+)
+def context_scalars(spark, sf_dir):
+    k = F.col("o_orderkey")
+    state = F.when(k % 3 == 0, F.lit("NY")).when(k % 3 == 1, F.lit("Italy"))
+    opened = S.month_year(F.concat(F.lpad((k % 15).cast("string"), 2, "0"), F.lit("/2001")))
+    years = S.years_apart_days(F.col("o_orderdate"), F.lit(1990))
+    return orders(spark, sf_dir).select(
+        "o_orderkey", S.is_foreign(state).alias("foreign_state"), S.same(state, F.when(k % 2 == 0, F.lit("NY"))).alias("same_state"), opened.alias("opened"), r6(years).alias("pin_days"), S.in_range(F.col("o_totalprice"), 9000, 100_000).alias("inside"), S.pair_key(state, F.col("o_orderstatus")).alias("pair")
+    )
+
+
+def _feature_table(spark, sf_dir) -> DataFrame:
+    o = orders(spark, sf_dir)
+    t = F.col("o_orderdate")
+    return o.select(F.col("o_custkey").cast("string").alias("entity_id"), t.alias("event_time"), F.when(urgent(), t).alias("reported_at"), urgent().alias("is_fraud"), F.lit("train").alias("split"), F.col("o_totalprice").alias("price"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderstatus")).alias("status"), F.col("o_orderkey").alias("artifact_key"))
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS entity_id, o_orderdate AS event_time, CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderdate END AS reported_at, o_orderpriority = '1-URGENT' AS is_fraud, 'train' AS split, CAST(o_totalprice AS FLOAT) AS price, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus ELSE '~na' END AS status, CAST(o_orderkey AS FLOAT) AS artifact_key FROM orders")
+def feature_contract(spark, sf_dir):
+    """A feature table as it's stored: keys first, numbers as float, text without nulls."""
+    return sinks.check_features(_feature_table(spark, sf_dir))
+
+
+@query("SELECT unnest(['artifact_key', 'price', 'status']) AS feature, unnest([true, false, false]) AS artifact")
+def feature_and_artifact_columns(spark, sf_dir):
+    df = _feature_table(spark, sf_dir)
+    made = [(c, c in sinks.artifact_columns(df)) for c in sinks.feature_columns(df)]
+    return spark.createDataFrame(made, "feature string, artifact boolean")
+
+
+@query("SELECT event_id, user_id % 3 AS grp FROM events ORDER BY ts, event_id")
+def stable_time_order(spark, sf_dir):
+    """Rows in time order by an explicit number, as a sink writes them."""
+    rows = with_rid(events(spark, sf_dir), ["ts", "event_id"])
+    return rows.orderBy("rid").select("event_id", (F.col("user_id") % 3).alias("grp"))
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS rid FROM events")
+def row_numbers(spark, sf_dir):
+    return with_rid(events(spark, sf_dir), ["ts", "event_id"]).select("event_id", "rid")
+
+
+# Fitted encoder, tree matrix, runs over seeds.
+
+
+@query(
+    """WITH v AS (SELECT level, row_number() OVER (ORDER BY level) - 1 AS code FROM (SELECT DISTINCT coalesce(o_orderstatus, '__null__') AS level FROM orders WHERE o_orderkey % 10 < 8)),
+e AS (SELECT o_orderkey, o_totalprice AS x, CAST(coalesce(code, (SELECT count(*) FROM v)) AS INTEGER) AS c FROM orders LEFT JOIN v ON level = CASE WHEN o_orderkey % 50 = 9 THEN 'new' ELSE o_orderstatus END),
+m AS (SELECT avg(x) AS mx, stddev_samp(x) AS sx, avg(c) AS mc, stddev_samp(c) AS sc FROM e WHERE o_orderkey % 10 < 8) SELECT o_orderkey, round((x - mx) / sx, 6) AS x, round((c - mc) / sc, 6) AS c FROM e, m"""
+)
+def encoder_codes_scaled(spark, sf_dir):
+    k = F.col("o_orderkey")
+    status = F.when(k % 50 == 9, F.lit("new")).otherwise(F.col("o_orderstatus"))
+    rows = orders(spark, sf_dir).select("o_orderkey", F.col("o_totalprice").alias("x"), status.alias("c"))
+    out = encoders.Encoder(rows.where(k % 10 < 8), ("c",), ("x",), scale=True).transform(rows)
+    return out.select("o_orderkey", r6("x").alias("x"), r6("c").alias("c"))
+
+
+_CODED = "(SELECT level, row_number() OVER (ORDER BY n DESC, level) - 1 AS code FROM (SELECT coalesce({c}, '~na') AS level, count(*) AS n FROM orders WHERE o_orderkey % 10 < 8 GROUP BY 1))"
+
+
+@query(f"SELECT o_orderkey, o_totalprice AS x_price, CAST(coalesce(code, 5) AS INTEGER) AS x_priority FROM orders LEFT JOIN {_CODED.format(c='o_orderpriority')} ON level = o_orderpriority")
+def tree_matrix(spark, sf_dir):
+    from .experiment import tree_matrix
+
+    rows = orders(spark, sf_dir).select(F.col("o_orderkey").alias("rid"), F.lit("").alias("entity_id"), F.col("o_orderdate").alias("event_time"), urgent().alias("is_fraud"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"))
+    out, names = tree_matrix(rows, F.col("rid") % 10 < 8)
+    return out.select(F.col("rid").alias("o_orderkey"), *names)
+
+
+_STUDY = """y AS (SELECT o_orderkey, o_custkey, CAST(o_orderpriority = '1-URGENT' AS INTEGER) AS y, CASE WHEN o_orderkey % 10 < 7 THEN 'train' WHEN o_orderkey % 10 < 8 THEN 'val' ELSE 'test' END AS split FROM orders),
+s AS (SELECT unnest([0, 1, 2]) AS seed), f AS (SELECT seed, o_custkey % (31 + seed) AS g, avg(y) AS score FROM y, s WHERE split = 'train' GROUP BY ALL),
+p AS (SELECT s.seed, split, y, score FROM y, s JOIN f ON f.seed = s.seed AND g = o_custkey % (31 + s.seed) WHERE split <> 'train'),
+c AS (SELECT seed, split, score, sum(n) OVER w AS cn, sum(p) OVER w AS cp, p, n FROM (SELECT seed, split, score, count(*) AS n, sum(y) AS p FROM p GROUP BY ALL) WINDOW w AS (PARTITION BY seed, split ORDER BY score DESC)),
+t AS (SELECT seed, split, sum(p) AS pos, sum(p * cp / cn) / sum(p) AS ap FROM c GROUP BY ALL),
+b AS (SELECT seed, arg_max(score, (2.0 * cp / (cn + pos), -score)) AS threshold FROM c JOIN t USING (seed, split) WHERE split = 'val' GROUP BY seed),
+h AS (SELECT seed, split, count(*) FILTER (score >= threshold AND y = 1) AS tp, count(*) FILTER (score >= threshold) AS called, sum(y) AS pos FROM p JOIN b USING (seed) GROUP BY ALL)"""
+
+
+@query(f"WITH {_STUDY} SELECT CAST(seed AS BIGINT) AS seed, split AS part, round(threshold, 6) AS threshold, round(ap, 6) AS average_precision, round(tp / called, 6) AS \"precision\", round(tp / h.pos, 6) AS recall, round(2 * tp / (called + h.pos), 6) AS f1 FROM h JOIN t USING (seed, split) JOIN b USING (seed)")
+def study_over_seeds(spark, sf_dir):
+    """A study end to end with a model that SQL can repeat: the train rate of a group of customers, which the seed picks."""
+    from .experiment import run_seeds
+
+    k = F.col("o_orderkey") % 10
+    split = F.when(k < 7, F.lit("train")).when(k < 8, F.lit("val")).otherwise(F.lit("test"))
+    table = orders(spark, sf_dir).select("o_custkey", urgent().cast("int").alias("y_true"), split.alias("split"))
+
+    def fit(train, seed):
+        group = lambda df: df.withColumn("g", F.col("o_custkey") % (31 + seed))
+        rates = group(train).groupBy("g").agg(F.avg("y_true").alias("score"))
+        return lambda df: group(df).join(rates, "g")
+
+    record = run_seeds(table, (0, 1, 2), fit)
+    names = ("average_precision", "precision", "recall", "f1")
+    rows = [(r["seed"], part, round(r["threshold"], 6), *(round(got[n], 6) for n in names)) for r in record["seeds"] for part, got in r["scores"].items()]
+    return spark.createDataFrame(rows, "seed long, part string, threshold double, " + ", ".join(f"{n} double" for n in names))
+
+
 def _feature_sets() -> None:
     from . import feature_queries
 

@@ -54,7 +54,12 @@ def validate(df: DataFrame) -> None:
 
 
 def with_rid(df: DataFrame, keys: list[str]) -> DataFrame:
-    """df with rid: the row's number in the order of keys (a timestamp first), which must be unique."""
+    """df with rid: the row's number in the order of keys (a timestamp first).
+
+    Rows that agree in all keys come in the order of a hash of the whole row, so that numbers don't change from run to
+    run; rows that agree in everything are alike, and which of them comes first makes no difference.
+    """
     run = instants(df, keys[0]).select(F.col("t").alias("__t"), (F.col("cum") - F.col("n")).alias("__before"))
-    own = F.row_number().over(Window.partitionBy(keys[0]).orderBy(*keys[1:])) - 1
+    row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind])
+    own = F.row_number().over(Window.partitionBy(keys[0]).orderBy(*keys[1:], row)) - 1
     return df.join(run, df[keys[0]] == run["__t"]).withColumn("rid", (F.col("__before") + own).cast("long")).drop("__t", "__before")

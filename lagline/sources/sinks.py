@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import contextlib
 import json
 import os
-import shutil
+import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,30 +30,62 @@ def check_names(names) -> None:
             raise ValueError(f"{n!r} isn't a bare file name")
 
 
-def publish(dest: Path, tables: dict[str, DataFrame], card: dict) -> Path:
-    """Writes <name>.parquet of each table and dataset_card.json, then swaps the folder in; a failure leaves the old one."""
+def uri(path: Path | str) -> str:
+    """A path as Spark's file systems name it: a local one gets its scheme."""
+    text = str(path)
+    return text if "://" in text or text.startswith("file:") else f"file://{Path(text).resolve()}"
+
+
+class _Files:
+    """The file system of a path, whatever store it is, through Spark."""
+
+    def __init__(self, spark: SparkSession, at: str):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(at).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def exists(self, at: str) -> bool:
+        return self._fs.exists(self._path(at))
+
+    def remove(self, at: str) -> None:
+        self._fs.delete(self._path(at), True)
+
+    def rename(self, a: str, b: str) -> None:
+        if not self._fs.rename(self._path(a), self._path(b)):
+            raise OSError(f"{a} couldn't be renamed to {b}")
+
+    def write(self, at: str, text: str) -> None:
+        out = self._fs.create(self._path(at), True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+
+
+def publish(dest: Path | str, tables: dict[str, DataFrame], card: dict) -> Path | str:
+    """Writes <name>.parquet of each table and dataset_card.json beside dest, then swaps the folder in; a failure leaves the old one.
+
+    dest lies in any store that Spark writes to: executors write the tables, and Spark's file system renames.
+    """
     check_names(tables)
-    dest = Path(dest)
-    dest.parent.mkdir(parents=True, exist_ok=True)
-    fresh, old = (dest.with_name(f"{dest.name}.{kind}{os.getpid()}") for kind in ("new", "old"))
-    for p in (fresh, old):
-        shutil.rmtree(p, ignore_errors=True)
-    fresh.mkdir()
+    at, spark = uri(dest), SparkSession.active()
+    files, mark = _Files(spark, at), uuid.uuid4().hex[:12]
+    fresh, old = f"{at}.new-{mark}", f"{at}.old-{mark}"
     try:
         for name, df in tables.items():
-            df.write.parquet(f"file://{(fresh / name).resolve()}.parquet")
-        (fresh / "dataset_card.json").write_text(json.dumps(card, indent=2, default=str) + "\n")
-        with contextlib.suppress(FileNotFoundError):
-            dest.rename(old)
+            df.write.parquet(f"{fresh}/{name}.parquet")
+        files.write(f"{fresh}/dataset_card.json", json.dumps(card, indent=2, default=str) + "\n")
+        if files.exists(at):
+            files.rename(at, old)
         try:
-            fresh.rename(dest)
+            files.rename(fresh, at)
         except BaseException:
-            if old.exists() and not dest.exists():
-                old.rename(dest)
+            if files.exists(old) and not files.exists(at):
+                files.rename(old, at)
             raise
     finally:
-        shutil.rmtree(fresh, ignore_errors=True)
-        shutil.rmtree(old, ignore_errors=True)
+        files.remove(fresh)
+        if files.exists(at):
+            files.remove(old)
     return dest
 
 

@@ -186,6 +186,17 @@ def test_prepare_features_and_studies(spark, tmp_path):
     assert sorted(p.name for p in c.processed.iterdir()) == before and (c.processed / "sparkov" / "dataset_card.json").exists()
     with pytest.raises(ValueError):
         sinks.check_names(["../x"])
+    at = sinks.uri(tmp_path / "by" / "uri")  # any store that Spark writes to, named by its scheme
+    for n in (3, 5):
+        assert sinks.publish(at, {"data": spark.range(n)}, {"n": n}) == at and spark.read.parquet(f"{at}/data.parquet").count() == n
+    assert [p.name for p in (tmp_path / "by").iterdir()] == ["uri"]
+
+
+def test_row_numbers_do_not_depend_on_the_run(spark):
+    rows = [(D(2020, 1, 1), "a", 5.0, k % 3) for k in range(9)]
+    df = spark.createDataFrame(rows, "event_time timestamp_ntz, entity_id string, amount double, extra int")
+    got = [schema.with_rid(df.repartition(n), ["event_time", "entity_id", "amount"]).orderBy("rid").collect() for n in (1, 4, 7)]
+    assert got[0] == got[1] == got[2] and [r["rid"] for r in got[0]] == list(range(9))
 
 
 def test_windows_study(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from pathlib import Path
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_made: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/lagline/{tag}-{uuid.uuid4().hex}"
+    """A new folder among the application's own, all of which go when the driver's Python ends."""
+    at = f"{shared_dir(spark)}/lagline/{spark.sparkContext.applicationId}"
+    if at not in _made:
+        _made.add(at)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        atexit.register(_remove, jvm, conf, at)
+    return f"{at}/{tag}-{uuid.uuid4().hex}"
+
+
+def _remove(jvm, conf, at: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        path = jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:

@@ -105,8 +105,10 @@ def run(spark: SparkSession, source: Path, dest: Path, entity: str, time: str, f
     if source.resolve() == dest.resolve():
         raise ToolError("the output would overwrite the input")
     csv = lambda p: p.suffix.lower() == ".csv"
-    # One reading order for all reads of a file: its own, within one partition.
-    numbered = lambda d: d.coalesce(1).withColumn("__rid", F.monotonically_increasing_id())
+    # A file's splits are read in its order, so numbers rise with the place in it, and are the same in each read.
+    # A folder's files have no order of their own: those are numbered within one partition.
+    whole = source.is_dir()
+    numbered = lambda d: (d.coalesce(1) if whole else d).withColumn("__rid", F.monotonically_increasing_id())
     df = numbered(read_table(spark, source, entity, time))
     canon, aware = add_delay(df, entity, time, fraud, regimes, duration_us(gap), origin, unit)
     if cutoff is not None and aware != bool(re.search(r"(Z|[+-]\d\d:?\d\d)$", cutoff)):

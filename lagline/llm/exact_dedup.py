@@ -33,7 +33,8 @@ def heavy(rows: DataFrame, support: float) -> DataFrame:
 
 def mark(docs: DataFrame, support: float = 0.001, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(F.col(text_col)).alias("text_sha256"))
+    # The texts are read once: what follows works on their digests.
+    rows = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(F.col(text_col)).alias("text_sha256")), "digests")
     met = rows.join(F.broadcast(heavy(rows, support)), "text_sha256", "left")
     stays = F.col("copies").isNull() | F.col("doc_id").eqNullSafe(F.col("top_id"))
     gone = met.where(~stays).select("doc_id", F.col("top_id").alias("keep_id"), F.col("copies").alias("group_size"), F.lit(False).alias("kept"), "text_sha256")

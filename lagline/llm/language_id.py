@@ -29,7 +29,6 @@ from dataclasses import dataclass, replace
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -200,17 +199,18 @@ def _counted(held: dict) -> pa.RecordBatch:
 
 
 def _expect(model):
-    def run(frames):
+    def run(batches):
         m, total = model.value, None
         at = {x: i for i, x in enumerate(m.langs)}
-        for pdf in frames:
-            for a in range(0, len(pdf), STEP):
-                part = pdf.iloc[a : a + STEP]
-                got = expected(m, part["word"].tolist(), part["lang"].map(at).to_numpy(), part["n"].to_numpy(float))
+        for batch in batches:
+            for a in range(0, batch.num_rows, STEP):
+                part = batch.slice(a, STEP)
+                lang = np.array([at[x] for x in part.column(0).to_pylist()], np.int64)
+                got = expected(m, part.column(1).to_pylist(), lang, part.column(2).to_numpy().astype(float))
                 total = got if total is None else total + got
         if total is not None:
             row, lang = np.nonzero(total)
-            yield pd.DataFrame({"row": row.astype(np.int64), "lang": lang.astype(np.int64), "n": total[row, lang]})
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(lang, pa.int64()), pa.array(total[row, lang])], names=["row", "lang", "n"])
 
     return run
 
@@ -237,7 +237,7 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 2, most_w
     model = Model(langs, np.array([k for k, _ in keyed], np.uint64), np.full(shape, 1.0 / shape[0]), np.log(n_docs / max(n_docs.sum(), 1)), max(map(len, pieces), default=1), lens)
     for _ in range(rounds if langs else 0):
         sent = spark.sparkContext.broadcast(model)
-        got = counts.mapInPandas(_expect(sent), "row bigint, lang bigint, n double").groupBy("row", "lang").agg(F.sum("n").alias("n")).toPandas()
+        got = counts.select("lang", "word", "n").mapInArrow(_expect(sent), "row bigint, lang bigint, n double").groupBy("row", "lang").agg(F.sum("n").alias("n")).toPandas()
         n = np.ones(shape)
         # Ordered sums, so that runs agree.
         got = got.sort_values(["row", "lang"])

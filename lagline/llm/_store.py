@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import tempfile
 import uuid
 from pathlib import Path
@@ -36,11 +37,13 @@ def fresh(spark: SparkSession, tag: str) -> str:
     if at not in _made:
         _made.add(at)
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        atexit.register(_remove, jvm, conf, at)
+        atexit.register(_remove, os.getpid(), jvm, conf, at)
     return f"{at}/{tag}-{uuid.uuid4().hex}"
 
 
-def _remove(jvm, conf, at: str) -> None:
+def _remove(owner: int, jvm, conf, at: str) -> None:
+    if os.getpid() != owner:  # a fork of the driver
+        return
     with contextlib.suppress(Exception):  # the JVM may be gone already
         path = jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(conf).delete(path, True)

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._arrow import SPACE, by_bucket, by_group, deltas, hashed_words, id_array, ids, mix, pack, roll, runs, spread, splitmix, text_buffer, undeltas, unpack, windows_of
+from ._arrow import SPACE, by_bucket, by_group, hashed_words, id_array, ids, mix, pack, roll, runs, spread, splitmix, text_buffer, unpack, windows_of
 from ._store import bucket_count, dealt, partitions, ship, sieved, without, written
 from .components import components, unite
 

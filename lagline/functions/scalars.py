@@ -37,6 +37,14 @@ def safe_ratio(num: Column, den: Column) -> Column:
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
 
 
+def round_scaled(x: Column, places: int = 6) -> Column:
+    """A double to so many places as SQL rounds it: scaled, to the nearest whole number (halves away from 0), scaled back.
+
+    F.round goes by the shortest decimal digits instead, which differs where those end in a half that the double isn't.
+    """
+    return F.round(x * 10.0**places) / 10.0**places
+
+
 def signed_log1p(x: Column) -> Column:
     return F.signum(x) * F.log1p(F.abs(x))
 

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import round_scaled
 from .splits import running_total
 
 
@@ -56,7 +57,7 @@ def zero_runs(months: DataFrame, min_months: int = 3) -> DataFrame:
 
 def delay_ecdf(df: DataFrame, delay_days: Column, label: Column) -> DataFrame:
     """days, rows (with exactly that delay) and percent of delays up to it, by row rank."""
-    per = df.where(label).groupBy(F.round(delay_days, 6).alias("days")).agg(F.count(F.lit(1)).alias("n"))
+    per = df.where(label).groupBy(round_scaled(delay_days).alias("days")).agg(F.count(F.lit(1)).alias("n"))
     run = running_total(per, "days", {"cum": "n"}, F.floor("days"))
     total = run.agg(F.max("cum").alias("total"))
     return run.crossJoin(F.broadcast(total)).select("days", "n", (100.0 * F.col("cum") / F.col("total")).alias("pct"))

@@ -482,7 +482,7 @@ def category_rate(spark, sf_dir):
 SELECT days, n, round(100.0 * sum(n) OVER (ORDER BY days) / sum(n) OVER (), 6) AS pct FROM g""")
 def delay_ecdf(spark, sf_dir):
     days = (S.micros(F.col("reported_at")) - S.micros(F.col("event_time"))) / float(S.DAY_US)
-    return reports.delay_ecdf(reported(spark, sf_dir, DEFAULT), days, F.col("is_fraud")).withColumn("pct", r6("pct"))
+    return reports.delay_ecdf(reported(spark, sf_dir, DEFAULT), days, F.col("is_fraud")).withColumn("pct", S.round_scaled(F.col("pct")))
 
 
 _RARE = "o_totalprice > 400000 AND month(o_orderdate) IN (2, 9)"

@@ -95,7 +95,8 @@ def delay_summary(df: DataFrame, reported: str = "reported_at", time: str = "eve
 
 def censoring(df: DataFrame, cutoffs: DataFrame, reported: str = "reported_at", time: str = "event_time", label: str = "is_fraud") -> DataFrame:
     """For each cutoff (a few rows): positives up to it, those unreported at it, and their share."""
-    pos = df.where(F.col(label)).join(F.broadcast(cutoffs), F.col(time) <= F.col("cutoff"))
+    apart = cutoffs.select("cutoff").distinct()  # equal cutoffs would count a positive several times
+    pos = df.where(F.col(label)).join(F.broadcast(apart), F.col(time) <= F.col("cutoff"))
     got = pos.groupBy("cutoff").agg(F.count(F.lit(1)).alias("known"), F.count_if(F.col(reported) > F.col("cutoff")).alias("unreported"))
     out = cutoffs.join(got, "cutoff", "left").na.fill(0, ["known", "unreported"])
     return out.withColumn("share", F.coalesce(F.try_divide("unreported", "known"), F.lit(0.0)))

@@ -345,7 +345,7 @@ def censored_share(spark, sf_dir):
     rows = reported(spark, sf_dir, SLOW)
     q = splits.quantiles(splits.instants(rows, "event_time"), "us", [0.5, 0.7, 0.8])
     cuts = q.select(F.explode(F.array(*[F.struct(F.lit(p).alias("p"), S.from_micros(F.floor(f"q{i}").cast("long")).alias("cutoff")) for i, p in enumerate((0.5, 0.7, 0.8))])).alias("x")).select("x.*")
-    return censoring(rows, cuts).select("p", "known", "unreported", r6("share").alias("share"))
+    return censoring(rows, cuts).select("p", "known", "unreported", S.round_scaled(F.col("share")).alias("share"))
 
 
 @query(_reported(DEFAULT) + " SELECT round(median((epoch_us(reported_at) - epoch_us(event_time)) / 86400e6), 6) AS median_days, round(avg((epoch_us(reported_at) - epoch_us(event_time)) / 86400e6), 6) AS mean_days FROM r WHERE is_fraud")

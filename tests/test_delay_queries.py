@@ -37,3 +37,16 @@ def halved():
 def test_ecdf_rounds_as_sql(spark, tmp_path):
     d, con = made(tmp_path, halved())
     same(Q.delay_ecdf(spark, d).toPandas(), con.sql(Q.ORACLE["delay_ecdf"]).df())
+
+
+def hidden():
+    """640 positives up to one instant, at which 323 of them are unreported; later rows, so that all quantiles asked for are that instant."""
+    early = [(i, T0 - 400 * DAY, True) for i in range(317)]
+    return early + [(317 + i, T0, True) for i in range(323)] + [(i, T0 + 9 * DAY, False) for i in range(100)]
+
+
+def test_share_at_equal_quantiles(spark, tmp_path):
+    d, con = made(tmp_path, hidden())
+    got = Q.censored_share(spark, d).toPandas()
+    assert set(got["known"]) == {640} and set(got["unreported"]) == {323}
+    same(got, con.sql(Q.ORACLE["censored_share"]).df())

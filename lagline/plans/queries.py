@@ -363,7 +363,7 @@ def censored_train_positives(spark, sf_dir):
     rows = reported(spark, sf_dir, SLOW)
     (end,) = splits.cuts_by_share(canonical_orders(spark, sf_dir), [0.8])
     cutoff = spark.range(1).select(splits.instant(end).alias("cutoff"))
-    return censoring(rows, cutoff).select(F.col("known").alias("positives"), F.col("unreported").alias("hidden"), r6("share").alias("share"))
+    return censoring(rows, cutoff).select(F.col("known").alias("positives"), F.col("unreported").alias("hidden"), S.round_scaled(F.col("share")).alias("share"))
 
 
 # Splits.

@@ -50,3 +50,8 @@ def test_share_at_equal_quantiles(spark, tmp_path):
     got = Q.censored_share(spark, d).toPandas()
     assert set(got["known"]) == {640} and set(got["unreported"]) == {323}
     same(got, con.sql(Q.ORACLE["censored_share"]).df())
+
+
+def test_hidden_share_rounds_as_sql(spark, tmp_path):
+    d, con = made(tmp_path, hidden())
+    same(Q.censored_train_positives(spark, d).toPandas(), con.sql(Q.ORACLE["censored_train_positives"]).df())

@@ -350,7 +350,7 @@ def censored_share(spark, sf_dir):
 
 @query(_reported(DEFAULT) + " SELECT round(median((epoch_us(reported_at) - epoch_us(event_time)) / 86400e6), 6) AS median_days, round(avg((epoch_us(reported_at) - epoch_us(event_time)) / 86400e6), 6) AS mean_days FROM r WHERE is_fraud")
 def realised_delay(spark, sf_dir):
-    return delay_summary(reported(spark, sf_dir, DEFAULT)).select(r6("median_days").alias("median_days"), r6("mean_days").alias("mean_days"))
+    return delay_summary(reported(spark, sf_dir, DEFAULT)).select(*[S.round_scaled(F.col(c)).alias(c) for c in ("median_days", "mean_days")])
 
 
 @query(

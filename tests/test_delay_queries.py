@@ -55,3 +55,8 @@ def test_share_at_equal_quantiles(spark, tmp_path):
 def test_hidden_share_rounds_as_sql(spark, tmp_path):
     d, con = made(tmp_path, hidden())
     same(Q.censored_train_positives(spark, d).toPandas(), con.sql(Q.ORACLE["censored_train_positives"]).df())
+
+
+def test_realised_delay_rounds_as_sql(spark, tmp_path):
+    d, con = made(tmp_path, halved())
+    same(Q.realised_delay(spark, d).toPandas(), con.sql(Q.ORACLE["realised_delay"]).df())
